@@ -65,10 +65,10 @@ def _exists(spark, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def with_home_zone(records: DataFrame, cameras: DataFrame, key: str = "camera_id", zone: str = "home_zone") -> DataFrame:
+def with_home_zone(records: DataFrame, cameras: DataFrame, id_column: str = "rec_id", key: str = "camera_id", zone: str = "home_zone") -> DataFrame:
     """records with the zone of their camera; null where the camera is null, unknown or has none. The first by name counts, were a camera listed twice."""
     zones = cameras.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(zone).alias(zone))
     if small_enough(cameras.count()):
         return records.join(F.broadcast(zones), key, "left")
     weighed = written(records.groupBy(key).count().join(zones, key), "zones")
-    return lookup_join(records, weighed, key, "count", "left")
+    return lookup_join(records, weighed, key, "count", "left", spread_by=id_column)

@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 HOT_SHARE = 2_000
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, how: str = "inner", spread_by: str | None = None) -> DataFrame:
     """rows joined to lookup (unique in key, a written table) on key.
 
     weight is lookup's column with the number of rows behind each key. Hot keys, at most HOT_SHARE by definition, are
-    broadcast, so their rows never move; the others shuffle and each has at most 1 / HOT_SHARE of the rows. Rows with
-    a null key find nothing: they are dropped by "inner" and kept with nulls by "left".
+    broadcast; the others shuffle, and each has at most 1 / HOT_SHARE of the rows. Rows with a null key find nothing:
+    "inner" drops them, "left" keeps them with nulls and, with those of hot keys, spreads them by the column spread_by.
     """
-    if how not in ("inner", "left"):
-        raise ValueError(f"how must be inner or left, not {how!r}")
     total = lookup.agg(F.sum(weight)).first()[0] or 0
-    hot = lookup.where(F.col(weight) > max(1, total / HOT_SHARE))
-    cold = lookup.where(F.col(weight) <= max(1, total / HOT_SHARE)).drop(weight)
-    marked = rows.join(F.broadcast(hot.select(key, F.struct(*[c for c in hot.columns if c not in (key, weight)]).alias("_hot"))), key, "left")
+    hot = F.col(weight) > max(1, total / HOT_SHARE)
     values = [c for c in lookup.columns if c not in (key, weight)]
-    near = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in values])
-    far = marked.where(F.col("_hot").isNull()).drop("_hot").join(cold, key, how).select(*rows.columns, *values)
-    return near.unionByName(far)
+    near = F.broadcast(lookup.where(hot).select(key, F.struct(F.lit(True).alias("_"), *values).alias("_near")))
+    cold = lookup.where(~hot)
+    marked = rows.join(near, key, "left")
+    if how == "inner":
+        found = marked.where(F.col("_near").isNotNull()).select(*rows.columns, *[F.col("_near")[c].alias(c) for c in values])
+        return found.unionByName(marked.where(F.col("_near").isNull()).drop("_near").join(cold.drop(weight), key).select(*rows.columns, *values))
+    if how != "left" or spread_by is None:
+        raise ValueError("how must be inner, or left with spread_by")
+    away = F.when(F.col(key).isNull() | F.col("_near").isNotNull(), F.concat(F.lit("\u0000"), F.xxhash64(spread_by).cast("string"))).otherwise(F.col(key).cast("string"))
+    far = cold.select(F.col(key).cast("string").alias("_away"), F.struct(*values).alias("_far"))
+    joined = marked.withColumn("_away", away).join(far, "_away", "left")
+    return joined.select(*rows.columns, *[F.when(F.col("_near").isNotNull(), F.col("_near")[c]).otherwise(F.col("_far")[c]).alias(c) for c in values])
