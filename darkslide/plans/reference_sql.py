@@ -1 +1,120 @@
-ORACLES: dict = {}
+"""DuckDB SQL of the metadata queries. Those on findings of whole records are checked by tests instead."""
+
+_ZONES = "['Europe/Paris','America/New_York','Asia/Tokyo','Australia/Sydney','Europe/Budapest','America/Denver','Asia/Kolkata','Africa/Nairobi']"
+_POINTS = "points AS (SELECT event_id, ts, (event_id * 7919 % 17000) / 100.0::DOUBLE - 85 AS lat, (event_id * 104729 % 36000) / 100.0::DOUBLE - 180 AS lon FROM events)"
+_EDGES = """rings0 AS (SELECT pos, centroid_lon, unnest(rings) AS ring FROM tz_zone),
+edges AS (SELECT pos, centroid_lon, e.a.lon AS x0, e.a.lat AS y0, e.b.lon AS x1, e.b.lat AS y1
+ FROM (SELECT pos, centroid_lon, unnest(list_transform(range(1, len(ring)), lambda i: {'a': ring[i], 'b': ring[i + 1]})) AS e FROM rings0))"""
+_INSIDE = """inside AS (SELECT event_id, min(pos) AS pos FROM (
+ SELECT event_id, pos FROM points JOIN edges ON least(x0, x1) <= lon AND lon < greatest(x0, x1)
+ WHERE y0 + (lon - x0) * ((y1 - y0) / (x1 - x0)) < lat GROUP BY event_id, pos HAVING count(*) % 2 = 1) GROUP BY event_id)"""
+_NEAREST = """outside AS (SELECT event_id, lat, lon FROM points WHERE event_id NOT IN (SELECT event_id FROM inside)),
+along AS (SELECT event_id, pos, centroid_lon, lon, sqrt((lon - x0 - t * (x1 - x0)) ** 2 + (lat - y0 - t * (y1 - y0)) ** 2) AS d FROM (
+ SELECT *, greatest(0, least(1, ((lon - x0) * (x1 - x0) + (lat - y0) * (y1 - y0)) / CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 = 0 THEN 1 ELSE (x1 - x0) ** 2 + (y1 - y0) ** 2 END)) AS t FROM outside CROSS JOIN edges)),
+near AS (SELECT event_id, pos, min(d) AS d, any_value(least(abs(lon - centroid_lon), 360 - abs(lon - centroid_lon)) > 7.5) AS beyond FROM along GROUP BY event_id, pos),
+nearest AS (SELECT event_id, arg_min(pos, (beyond, d, pos)) AS pos FROM near GROUP BY event_id)"""
+_FOUND = f"WITH {_POINTS}, {_EDGES}, {_INSIDE}, {_NEAREST}, found AS (SELECT event_id, tz_name AS tz FROM (SELECT * FROM inside UNION ALL SELECT * FROM nearest) JOIN tz_zone USING (pos))"
+_WALL = f"SELECT o_orderkey, o_orderdate + to_minutes((o_orderkey % 96) * 15) AS wall, {_ZONES}[o_custkey % 8 + 1] AS tz FROM orders"
+_SECONDS = "(o_orderkey * 37 % 100000 - 50000)"
+
+
+def _offset(tz: str, wall: str) -> str:
+    utc = f"timezone('UTC', timezone({tz}, {wall}))"
+    return f"CAST(epoch(timezone({tz}, timezone({tz}, {wall}))) - epoch({utc}) AS BIGINT)"
+
+
+def _hhmm(minutes: str, negative: str) -> str:
+    return f"(CASE WHEN {negative} THEN '-' ELSE '+' END || lpad(CAST(abs({minutes}) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs({minutes}) % 60 AS VARCHAR), 2, '0'))"
+
+
+_FLOOR = f"CAST(floor({_SECONDS} / 60) AS BIGINT)"
+_DROP = f"CAST(floor(abs({_SECONDS}) / 60) AS BIGINT)"
+_PHOTO = "(SELECT DISTINCT * EXCLUDE (received_at) FROM photo_record)"
+_LONG = f"""long AS (SELECT rec_id, unnest([
+ {{'tag': 'SourceFile', 'v': source_file}}, {{'tag': 'ExifIFD:DateTimeOriginal', 'v': exififd_date_time_original}}, {{'tag': 'ExifIFD:OffsetTimeOriginal', 'v': exififd_offset_time_original}}, {{'tag': 'EXIF:GPSDateStamp', 'v': exif_gps_date_stamp}},
+ {{'tag': 'EXIF:GPSTimeStamp', 'v': exif_gps_time_stamp}}, {{'tag': 'XMP:DateCreated', 'v': xmp_date_created}}, {{'tag': 'IPTC:Keywords', 'v': iptc_keywords}}, {{'tag': 'XMP:Subject', 'v': xmp_subject}}, {{'tag': 'Composite:GPSLatitude', 'v': composite_gps_latitude}},
+ {{'tag': 'Composite:GPSLongitude', 'v': composite_gps_longitude}}, {{'tag': 'File:ImageWidth', 'v': CAST(file_image_width AS VARCHAR)}}, {{'tag': 'ExifIFD:ExposureCompensation', 'v': exififd_exposure_compensation}},
+ {{'tag': 'XMP-xmp:Rating', 'v': CAST(xmp_rating AS VARCHAR)}}, {{'tag': 'System:FileModifyDate', 'v': system_file_modify_date}}], recursive := true) FROM {_PHOTO})"""
+_FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = "CASE WHEN regexp_matches(trim({0}), '" + _FLOAT + "') THEN TRY_CAST(trim({0}) AS DOUBLE) END"
+
+
+def _parse(column: str) -> str:
+    """As parse_naive: EXIF, ISO and basic ISO texts as wall times, text with six decimals."""
+    zone = "(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?(?::?[0-9]{2})?)?"
+    forms = (
+        "^([0-9]{4}):([0-9]{2}):([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})()$",
+        f"^([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}})(?:.([0-9]{{2}}):([0-9]{{2}})(?::([0-9]{{2}})(?:[.,]([0-9]+))?)?{zone})?$",
+        f"^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})(?:.([0-9]{{2}})([0-9]{{2}})(?:([0-9]{{2}})(?:[.,]([0-9]+))?)?{zone})?$",
+    )
+    whens = []
+    for form in forms:
+        p = lambda i, form=form: f"regexp_extract({column}, '{form}', {i})"
+        n = lambda i: f"coalesce(TRY_CAST(nullif({p(i)}, '') AS INTEGER), 0)"
+        day = f"TRY_CAST({p(1)} || '-' || {p(2)} || '-' || {p(3)} AS DATE)"
+        text = f"strftime({day}, '%Y-%m-%d') || ' ' || lpad(CAST({n(4)} AS VARCHAR), 2, '0') || ':' || lpad(CAST({n(5)} AS VARCHAR), 2, '0') || ':' || lpad(CAST({n(6)} AS VARCHAR), 2, '0') || '.' || rpad(left({p(7)}, 6), 6, '0')"
+        whens.append(f"WHEN regexp_matches({column}, '{form}') THEN CASE WHEN {n(4)} < 24 AND {n(5)} < 60 AND {n(6)} < 60 AND {n(1)} > 0 AND {day} IS NOT NULL THEN {text} END")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def _normal(column: str) -> str:
+    t = f"trim({column})"
+    named, plain = "(?i)^(?:UTC|GMT)\\s*([+-]?)([0-9]{1,2})(?::?([0-9]{2}))?$", "^([+-]?)([0-9]{1,2})(?::([0-9]{2}))?$"
+    part = lambda form, i: f"regexp_extract({t}, '{form}', {i})"
+    two = lambda form, i: f"lpad(coalesce(nullif({part(form, i)}, ''), '0'), 2, '0')"
+    whole = lambda form, sign: f"{sign} || {two(form, 2)} || ':' || {two(form, 3)}"
+    return (
+        f"CASE WHEN regexp_matches({t}, '^[+-][0-9]{{2}}:[0-9]{{2}}$') THEN {t} WHEN regexp_matches({t}, '^[+-][0-9]{{4}}$') THEN left({t}, 3) || ':' || right({t}, 2) "
+        f"WHEN regexp_matches({t}, '{named}') THEN " + whole(named, f"CASE WHEN {part(named, 1)} = '-' THEN '-' ELSE '+' END") + f" WHEN regexp_matches({t}, '{plain}') THEN " + whole(plain, f"CASE WHEN {part(plain, 1)} = '-' AND TRY_CAST({part(plain, 2)} AS INTEGER) > 0 THEN '-' ELSE '+' END") + " END"
+    )
+
+
+_RINGS = "rings1 AS (SELECT pos, unnest(rings) AS ring, generate_subscripts(rings, 1) - 1 AS ring_no FROM tz_zone)"
+
+ORACLES = {
+    "zone_offsets": f"{_FOUND} SELECT tz, {_hhmm('m', 'm < 0')} AS utc_offset, count(*) AS events FROM (SELECT tz, CAST(floor({_offset('tz', 'ts')} / 60) AS BIGINT) AS m FROM found JOIN points USING (event_id)) GROUP BY ALL",
+    "tz_from_point": f"{_FOUND} SELECT event_id, tz FROM found",
+    "tz_exact_only": f"WITH {_POINTS}, {_EDGES}, {_INSIDE} SELECT points.event_id, tz_name AS tz FROM points LEFT JOIN inside USING (event_id) LEFT JOIN tz_zone USING (pos)",
+    "local_offset": f"SELECT o_orderkey, {_offset('tz', 'wall')} AS offset_s FROM ({_WALL})",
+    "local_time": f"SELECT event_id, strftime(timezone({_ZONES}[event_id % 8 + 1], timezone('UTC', ts)), '%Y-%m-%d %H:%M:%S') AS local FROM events",
+    "offset_format": f"SELECT o_orderkey, {_hhmm(_FLOOR, _FLOOR + ' < 0')} AS rounded_down, {_hhmm(_DROP, _SECONDS + ' < 0')} AS seconds_dropped FROM orders",
+    "offset_parse": f"SELECT o_orderkey, CASE WHEN {_SECONDS} < 0 THEN -{_DROP} * 60 ELSE {_DROP} * 60 END AS offset_s FROM orders",
+    "offset_normalize": f"SELECT rec_id, raw, {_normal('raw')} AS normal FROM (SELECT DISTINCT rec_id, exififd_offset_time_original AS raw FROM photo_record)",
+    "exif_parse": f"SELECT rec_id, raw, {_parse('raw')} AS wall FROM (SELECT DISTINCT rec_id, exififd_date_time_original AS raw FROM photo_record)",
+    "to_utc": f"SELECT o_orderkey, strftime(wall - to_seconds({_SECONDS}), '%Y-%m-%d %H:%M:%S') AS utc FROM ({_WALL})",
+    "stringify_dt": """SELECT event_id, iso, replace(iso, '-', ':') AS exif, strftime(ts, '%Y-%m-%d') AS "day", strftime(ts, '%Y:%m:%d') AS exif_day,
+        strftime(ts, '%H:%M:%S') || CASE WHEN strftime(ts, '%f') = '000000' THEN '' ELSE '.' || strftime(ts, '%f') END AS clock
+        FROM (SELECT event_id, ts, CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0') END AS iso FROM events)""",
+    "path_date": "SELECT rec_id, CASE WHEN regexp_matches(source_file, 'photos/(....)/(..)/(..)') THEN regexp_extract(source_file, 'photos/(....)/(..)/(..)', 1) || ':' || regexp_extract(source_file, 'photos/(....)/(..)/(..)', 2) || ':' || regexp_extract(source_file, 'photos/(....)/(..)/(..)', 3) || ' 00:00:00' END AS proposed FROM (SELECT DISTINCT rec_id, source_file FROM photo_record)",
+    "zone_bounds": "SELECT CAST(pos AS BIGINT) AS pos, list_min(list_transform(flatten(rings), lambda p: p.lon)) AS min_lon, list_min(list_transform(flatten(rings), lambda p: p.lat)) AS min_lat, list_max(list_transform(flatten(rings), lambda p: p.lon)) AS max_lon, list_max(list_transform(flatten(rings), lambda p: p.lat)) AS max_lat FROM tz_zone",
+    "ring_centroids": f"WITH {_RINGS} SELECT CAST(pos AS BIGINT) AS pos, CAST(ring_no AS BIGINT) AS ring_no, round(sum((e.a.lon + e.b.lon) * (e.a.lon * e.b.lat - e.b.lon * e.a.lat)) / (3 * sum(e.a.lon * e.b.lat - e.b.lon * e.a.lat)), 4) AS centroid_lon FROM (SELECT pos, ring_no, unnest(list_transform(range(1, len(ring)), lambda i: {{'a': ring[i], 'b': ring[i + 1]}})) AS e FROM rings1) GROUP BY ALL",
+    "zone_edges": f"WITH {_RINGS} SELECT CAST(pos AS BIGINT) AS region, CAST(sum(len(ring) - 1) AS BIGINT) AS edges FROM rings1 GROUP BY pos",
+    "lon_deltas": f"WITH {_POINTS} SELECT event_id, round(least(abs(lon + lat * 2), 360 - abs(lon + lat * 2)), 6) AS delta FROM points",
+    "neighbour_points": f"""WITH {_POINTS}, sides AS (SELECT unnest([{{'k': 0, 'a': 1, 'b': 0}}, {{'k': 1, 'a': -1, 'b': 0}}, {{'k': 2, 'a': 0, 'b': 1}}, {{'k': 3, 'a': 0, 'b': -1}}, {{'k': 4, 'a': 1, 'b': 1}}, {{'k': 5, 'a': 1, 'b': -1}}, {{'k': 6, 'a': -1, 'b': 1}}, {{'k': 7, 'a': -1, 'b': -1}}], recursive := true))
+        SELECT event_id, CAST(k AS BIGINT) AS k, round(lat + a * (200.0 / 111320.0::DOUBLE), 6) AS lat, round(lon + b * (200.0 / greatest(1e-6, 111320.0::DOUBLE * cos(radians(lat)))), 6) AS lon FROM points CROSS JOIN sides""",
+    "path_get": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS missing FROM events",
+    "path_set": "SELECT event_id, '7' AS b FROM events",
+    "path_pop": "SELECT event_id, '{}' AS rest FROM events",
+    "listify": "SELECT n_nationkey, array_to_string([n_name], ',') AS names FROM nation",
+    "map_values_keys": """SELECT event_id, '{"K": ' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS VARCHAR) || '}' AS props FROM events""",
+    "keyword_split": r"SELECT rec_id, array_to_string(list_filter(list_transform(regexp_split_to_array(iptc_keywords, '\s*[,;]\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM (SELECT DISTINCT rec_id, iptc_keywords FROM photo_record WHERE iptc_keywords IS NOT NULL)",
+    "position_split": f"""WITH t AS (SELECT rec_id, regexp_split_to_array(concat_ws('; ', composite_gps_latitude, composite_gps_longitude), '\\s*[,;]\\s*') AS p FROM {_PHOTO}),
+        n AS (SELECT rec_id, CASE WHEN len(p) = 2 THEN {_NUMBER.format('p[1]')} END AS lat, CASE WHEN len(p) = 2 THEN {_NUMBER.format('p[2]')} END AS lon FROM t)
+        SELECT rec_id, CASE WHEN lon IS NOT NULL THEN round(lat, 6) END AS lat, CASE WHEN lat IS NOT NULL THEN round(lon, 6) END AS lon FROM n""",
+    "x_join": f"SELECT rec_id, concat_ws('x', file_image_width, file_image_height) AS size FROM (SELECT DISTINCT rec_id, file_image_width, file_image_height FROM {_PHOTO})",
+    "signed8": f"WITH {_POINTS} SELECT event_id, printf('%+.8f', CAST(printf('%.2f', lat) AS DOUBLE)) || ', ' || printf('%+.8f', CAST(printf('%.2f', lon) AS DOUBLE)) AS position FROM points",
+    "flatten_singleton": "SELECT n_regionkey, CAST(min(n_nationkey) AS VARCHAR) AS first, CASE WHEN count(*) = 1 THEN CAST(min(n_nationkey) AS VARCHAR) ELSE '[' || string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) || ']' END AS all_keys FROM nation GROUP BY n_regionkey",
+    "typed_cast": f"SELECT rec_id, {_NUMBER.format('exififd_exposure_compensation')} AS compensation, round({_NUMBER.format('composite_gps_latitude')}, 6) AS lat, CAST(xmp_rating AS BIGINT) AS rating FROM {_PHOTO}",
+    "delete_tags": f"WITH {_LONG} SELECT tag, count(*) AS records FROM long WHERE v IS NOT NULL AND tag NOT IN ('SourceFile', 'System:FileModifyDate', 'IPTC:Keywords') GROUP BY tag",
+    "rename_group": f"WITH {_LONG} SELECT CASE WHEN tag LIKE 'ExifIFD:%' THEN replace(tag, 'ExifIFD:', 'EXIF:') WHEN tag LIKE 'System:%' THEN replace(tag, 'System:', 'File:') ELSE tag END AS tag, count(*) AS records FROM long WHERE v IS NOT NULL GROUP BY 1",
+    "equality_groups": f"SELECT rec_id, CAST(1 AS BIGINT) AS unequal FROM {_PHOTO} WHERE iptc_keywords <> xmp_subject",
+    "pipeline_all": f"""WITH {_LONG} SELECT tag, CASE WHEN tag IN ('IPTC:Keywords', 'XMP:Subject') THEN 'list' WHEN tag IN ('ExifIFD:ExposureCompensation', 'Composite:GPSLatitude') AND regexp_matches(trim(v), '{_FLOAT}') THEN 'number' WHEN tag IN ('XMP-xmp:Rating', 'File:ImageWidth') THEN 'number' ELSE 'text' END AS kind, count(*) AS records
+        FROM long WHERE v IS NOT NULL AND tag NOT IN ('SourceFile', 'System:FileModifyDate') GROUP BY ALL""",
+    "missing_ids": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY 1",
+    "distinct_ids": "SELECT DISTINCT geo_id FROM tz_zone WHERE geo_id <> '' ORDER BY 1",
+    "needs_rebuild": "SELECT max(received_at) FILTER (dump_id = 1) IS NULL OR coalesce(max(received_at) FILTER (dump_id <> 1) > max(received_at) FILTER (dump_id = 1), false) AS stale FROM dump_file",
+    "id_lookup": "SELECT geo_id, tz_name, min_lon, max_lat FROM (SELECT geo_id, tz_name, list_min(list_transform(flatten(rings), lambda p: p.lon)) AS min_lon, list_max(list_transform(flatten(rings), lambda p: p.lat)) AS max_lat FROM tz_zone)",
+    "merge_maps": "SELECT o_orderkey, o_orderstatus AS status, 'none' AS priority FROM orders",
+    "positional_zip": f"WITH {_RINGS} SELECT CAST(pos AS BIGINT) AS pos, CAST(ring_no AS BIGINT) AS ring_no, CAST(k AS BIGINT) AS k, p.lon AS lon, p.lat AS lat FROM (SELECT pos, ring_no, unnest(ring) AS p, generate_subscripts(ring, 1) - 1 AS k FROM rings1)",
+    "severity_messages": "SELECT l_orderkey, l_linestatus, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), '; ' ORDER BY l_linenumber, l_partkey) AS messages FROM lineitem GROUP BY ALL",
+}
