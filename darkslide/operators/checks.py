@@ -145,7 +145,7 @@ def datetime_findings(df: DataFrame, tags: str = "tags", keep: Sequence[str] = (
     one = lambda f: F.array(f)
     impossible = a["impossible"] | F.exists(F.col("_others"), lambda r: r["impossible"])
     found = (
-        F.when(~F.arrays_overlap(keys, F.array(*[F.lit(k) for k in KNOWN])), F.slice(events, 1, 0))
+        F.when(~F.coalesce(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in KNOWN])), F.lit(False)), F.slice(events, 1, 0))
         .when(a["error"].isNotNull() & blank & proposal.isNotNull(), one(_finding("fixable", a["tag"], proposal)))
         .when(a["error"].isNotNull(), one(_finding("fatal", F.array_join(_fan(tag_map, a), "+"), a["error"])))
         .when(impossible, one(_finding("error", F.lit(ANCHOR), F.lit("ValueError"))))

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 from io import BytesIO
 
+import pandas as pd
 import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,8 +133,6 @@ def change_set(files: DataFrame, tags: dict[str, object]) -> DataFrame:
 
 def yaml_text(record: Column) -> Column:
     """YAML of a JSON text, keys in order and characters as they are."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def dump(batch: pd.Series) -> pd.Series:
         return batch.map(lambda t: yaml.safe_dump(json.loads(t), sort_keys=False, allow_unicode=True).strip(), na_action="ignore").astype(object)
