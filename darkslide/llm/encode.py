@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from darkslide.llm.bpe import TOKENIZERS, encoder
+from darkslide.session import spread
 
 
 def encode_texts(df: DataFrame, id_column: str, text_column: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -21,7 +22,7 @@ def encode_texts(df: DataFrame, id_column: str, text_column: str, tokenizer: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=[id_column, "ids"])
 
-    rows = df.select(id_column, text_column)
+    rows = spread(df.select(id_column, text_column))
     return rows.mapInArrow(encode, f"{id_column} {rows.dtypes[0][1]}, ids array<int>")
 
 
@@ -33,7 +34,7 @@ def count_tokens(df: DataFrame, id_column: str, text_column: str, tokenizer: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(own.encode(t)) for t in b.column(1).to_pylist()], pa.int64())], names=[id_column, "tokens"])
 
-    rows = df.select(id_column, text_column)
+    rows = spread(df.select(id_column, text_column))
     return rows.mapInArrow(count, f"{id_column} {rows.dtypes[0][1]}, tokens bigint")
 
 
