@@ -18,7 +18,7 @@ _ISO_BASIC = rf"^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})(?:.([0-9]{{2}})([0-9]{{2}}
 
 def seconds_of(interval: Column) -> Column:
     """Whole seconds of a day-time interval. timestampdiff on NTZ would go by the session's zone."""
-    return F.expr("interval '0' second").cast("interval second") if interval is None else interval.cast("interval second").cast("bigint")
+    return interval.cast("interval second").cast("bigint")
 
 
 def wall_time(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, micros: Column | None = None) -> Column:
@@ -123,10 +123,9 @@ def wall_offset(zone: Column, wall: Column) -> Column:
     """
     utc = lambda w: F.convert_timezone(zone, F.lit("UTC"), w)
     at = lambda u: seconds_of(local_time(zone, u) - u)
-    # (offset before a change, offset after it) of the wall time itself, an hour later, and an hour earlier.
+    # Offsets as before a change, of the wall time, an hour later and an hour earlier; a lambda's variable holds them once.
     early = F.transform(F.array(wall, _after(wall, 3600), _after(wall, -3600)), lambda w: seconds_of(w - utc(w)))
-    states = F.array(F.struct(early[0].alias("here"), early[1].alias("later"), early[2].alias("earlier")))
-    with_next = F.transform(states, lambda s: F.struct(s["here"].alias("here"), s["later"].alias("later"), s["earlier"].alias("earlier"), at(to_utc(wall, s["here"])).alias("kept"), at(_after(to_utc(wall, s["here"]), 86_400)).alias("next")))
+    states = F.transform(F.array(early), lambda e: F.struct(e[0].alias("here"), e[1].alias("later"), e[2].alias("earlier"), at(to_utc(wall, e[0])).alias("kept"), at(_after(to_utc(wall, e[0]), 86_400)).alias("next")))
 
     def choose(s: Column) -> Column:
         in_gap = s["kept"] != s["here"]
@@ -134,7 +133,7 @@ def wall_offset(zone: Column, wall: Column) -> Column:
         post = F.when(in_gap, s["kept"]).when(twice, s["next"]).otherwise(s["here"])
         return F.when(post != s["here"], post).when(s["later"] != s["earlier"], s["later"]).otherwise(s["here"])
 
-    return F.transform(with_next, choose)[0]
+    return F.transform(states, choose)[0]
 
 
 def first_of(*columns: Column) -> Column:

@@ -56,12 +56,15 @@ def _read(tags: Column, r: Column) -> Column:
         said = F.nullif(_value(tags, r[companion]), F.lit(""))
         joined = F.when(said.isNotNull(), F.concat(joined, F.lit(before), said)).otherwise(joined)
         names = F.when(said.isNotNull(), F.concat_ws("+", names, r[companion])).otherwise(names)
-    part = lambda i: F.regexp_extract(joined, _WHOLE, i)
-    fits = joined.rlike(_WHOLE) & ((part(7) == "") | r["form"].contains("f")) & F.when(r["form"].contains("u"), part(8).isin("Z", "+00:00", "-00:00")).otherwise((part(8) == "") | r["form"].contains("z"))
+    # Once the form fits, all but the fraction and offset stand at fixed places.
+    part = lambda i: F.substring(joined, *((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))[i - 1])
+    rest = F.substring(joined, 20, 40)
+    zone = F.regexp_extract(rest, r"(?:[+-][0-9]{2}:[0-9]{2}|Z)$", 0)
+    fits = own.isNotNull() & joined.rlike(_WHOLE) & (~rest.startswith(".") | r["form"].contains("f")) & F.when(r["form"].contains("u"), zone.isin("Z", "+00:00", "-00:00")).otherwise((zone == "") | r["form"].contains("z"))
     day = F.unix_date(F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")).cast("bigint")
     clock = F.when((part(4) < "24") & (part(5) < "60") & (part(6) < "60"), part(4).try_cast("bigint") * 3600 + part(5).try_cast("bigint") * 60 + part(6).try_cast("bigint"))
     seconds = F.when(fits & (part(1) != "0000"), day * 86_400 + clock)
-    offset = F.when(fits, parse_offset(F.coalesce(r["fixed"], F.nullif(part(8), F.lit("")))))
+    offset = F.when(fits, parse_offset(F.coalesce(r["fixed"], F.nullif(zone, F.lit("")))))
     error = F.when(own.isNull(), F.concat(F.lit("DateTimeParseError: Cannot parse "), r["tag"], F.lit(" KeyError: '"), r["tag"], F.lit("'"))).when(
         ~fits, F.concat(F.lit("DateTimeParseError: Cannot parse "), names, F.lit(" DateTimeParseError: '"), joined, F.lit("' does not match the form of a date and time"))
     )

@@ -49,7 +49,7 @@ def normalise_instants(df: DataFrame, fields: Sequence[StampField], id_column: s
     long = df.select(F.col(id_column).alias("_id"), zone.alias("zone"), F.inline(values)).where("raw <> ''")
     long = long.withColumn("zone", F.when(F.col("kind") == "wall", F.col("zone")))
     key = F.concat_ws("\u0001", "kind", "raw", F.coalesce("companion", F.lit("")), F.coalesce("zone", F.lit("")))
-    found = long.groupBy(key.alias("key")).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("kind", "raw", "companion", "zone")])
+    found = long.groupBy("kind", "raw", "companion", "zone").agg(F.count("*").alias("n")).withColumn("key", key)
     if store is None:
         dictionary = written(found.mapInArrow(_read, _DICTIONARY), "instants")
     else:

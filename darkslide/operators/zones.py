@@ -6,19 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkslide.functions.temporal import format_offset_floor, wall_offset
 from darkslide.operators.spatial import containing_regions, region_edges
-from darkslide.session import written
+from darkslide.session import small_enough, written
 
 #: A zone whose centroid is within so many degrees of longitude beats any nearer one.
 BAND_DEG = 7.5
 #: Metres of a degree of latitude, and the least share of it that a degree of longitude keeps near the poles.
 DEGREE_M, LEAST_SHARE = 111_320.0, 1e-6
-#: Edges up to which the nearest zone is sought with all of them at hand; about 400 zones of real borders need simplified rings beyond.
+#: Edges that are broadcast at a time in the search for the nearest zone.
 MOST_EDGES = 500_000
+POINTS_A_TASK = 100_000
 
 
 def lon_delta(a: Column, b: Column) -> Column:
@@ -56,36 +58,59 @@ def segment_distances(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.nda
     return np.hypot(x[:, None] - x0 - along * dx, y[:, None] - y0 - along * dy)
 
 
-def _nearest(points: DataFrame, zones: DataFrame) -> DataFrame:
-    """Rows (id, region) for points outside of all zones: the nearest in the band of longitude, else the nearest; ties go to the lowest pos."""
-    edges = written(region_edges(zones).join(zones.select(F.col("pos").cast("bigint").alias("region"), "centroid_lon"), "region").orderBy("region"), "zone-edges")
-    if edges.count() > MOST_EDGES:
-        raise ValueError(f"over {MOST_EDGES} edges: simplify the rings for the nearest-zone search")
-    held = points.sparkSession.sparkContext.broadcast(edges.orderBy("region").toArrow())
+def _seek(held: Broadcast):
+    """Reader of points that gives each its nearest zone among those held, whether that is beyond the band, and the distance."""
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         region = table.column("region").to_numpy()
-        names, first = np.unique(region, return_index=True)
+        zone, first = np.unique(region, return_index=True)
         sides = np.column_stack([table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")])
-        centre = table.column("centroid_lon").to_numpy()[first] if len(first) else np.zeros(0)
-        step = max(1, 4_000_000 // max(1, len(region)))
+        centre = table.column("centroid_lon").to_numpy()[first]
+        step = max(1, 4_000_000 // len(region))
         for b in batches:
             lon, lat = b.column("lon").to_numpy(), b.column("lat").to_numpy()
-            found = np.zeros(len(lon), np.int64)
+            best, least, beyond = np.zeros(len(lon), np.int64), np.zeros(len(lon)), np.zeros(len(lon), bool)
             for k in range(0, len(lon), step):
-                x, y = lon[k : k + step], lat[k : k + step]
-                distance = np.minimum.reduceat(segment_distances(x, y, sides), first, axis=1)
-                away = np.abs(x[:, None] - centre)
-                away = np.where(away > 180, 360 - away, away)
-                banded = np.where(away <= BAND_DEG, distance, np.inf)
-                best = np.where(np.isfinite(banded).any(1), banded.argmin(1), distance.argmin(1))
-                found[k : k + step] = names[best]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found)], names=["id", "region"])
+                at = slice(k, k + step)
+                distance = np.minimum.reduceat(segment_distances(lon[at], lat[at], sides), first, axis=1)
+                away = np.abs(lon[at, None] - centre)
+                near = np.where(np.where(away > 180, 360 - away, away) <= BAND_DEG, distance, np.inf)
+                beyond[at] = ~np.isfinite(near).any(1)
+                pick = np.where(beyond[at], distance.argmin(1), near.argmin(1))
+                best[at], least[at] = zone[pick], distance[np.arange(len(pick)), pick]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(best), pa.array(beyond), pa.array(least)], names=["id", "region", "beyond", "distance"])
+
+    return seek
+
 
-    if not edges.count():
-        return points.select("id", F.lit(None).cast("bigint").alias("region")).limit(0)
-    return points.select("id", "lat", "lon").mapInArrow(seek, f"id {points.schema['id'].dataType.simpleString()}, region bigint")
+def _nearest(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """Rows (id, region) for points outside of all zones: the nearest in the band of longitude, else the nearest; ties go to the lowest pos.
+
+    The zones' edges are broadcast, at most MOST_EDGES of them at a time; were there more, blocks of zones follow each other and each point keeps its best.
+    """
+    edges = written(region_edges(zones).join(zones.select(F.col("pos").cast("bigint").alias("region"), "centroid_lon"), "region"), "zone-edges")
+    rows = points.count()
+    # Each task has at most POINTS_A_TASK of them, and all cores have some.
+    tasks = max(-(-rows // POINTS_A_TASK), min(points.sparkSession.sparkContext.defaultParallelism, -(-rows // 1_000)), 1)
+    spread_out = points.select("id", "lat", "lon").repartition(tasks)
+    kind = points.schema["id"].dataType.simpleString()
+    parts, block, size = [], [], 0
+    for region, number in [*sorted(map(tuple, edges.groupBy("region").count().collect())), (None, 0)]:
+        if block and (region is None or size + number > MOST_EDGES):
+            held = points.sparkSession.sparkContext.broadcast(edges.where(F.col("region").between(block[0], block[-1])).orderBy("region").toArrow())
+            parts.append(spread_out.mapInArrow(_seek(held), f"id {kind}, region bigint, beyond boolean, distance double"))
+            block, size = [], 0
+        block.append(region)
+        size += number
+    if not parts:
+        return points.select("id", F.lit(None).cast("bigint").alias("region"))
+    if len(parts) == 1:
+        return parts[0].select("id", "region")
+    best = parts[0]
+    for part in parts[1:]:
+        best = best.unionByName(part)
+    return best.groupBy("id").agg(F.min(F.struct("beyond", "distance", "region"))["region"].alias("region"))
 
 
 def zone_of_points(points: DataFrame, id_column: str, zones: DataFrame, tolerance: float = BAND_DEG) -> DataFrame:
@@ -101,7 +126,8 @@ def zone_of_points(points: DataFrame, id_column: str, zones: DataFrame, toleranc
         found = exact.where("region is not null").select("id", "region").unionByName(_nearest(outside, zones)).unionByName(exact.where("lat is null or lon is null").select("id", F.lit(None).cast("bigint").alias("region")))
     else:
         found = exact.select("id", "region")
-    names = F.broadcast(zones.select(F.col("pos").cast("bigint").alias("region"), F.col("tz_name").alias("tz")))
+    names = zones.select(F.col("pos").cast("bigint").alias("region"), F.col("tz_name").alias("tz"))
+    names = F.broadcast(names) if small_enough(zones.count()) else names
     return found.join(names, "region", "left").select(F.col("id").alias(id_column), "tz")
 
 

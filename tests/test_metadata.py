@@ -129,11 +129,13 @@ def zone_frame(spark):
     return spark.createDataFrame(rows, "pos int, tz_name string, geo_id string, centroid_lon double, rings array<array<struct<lon:double,lat:double>>>")
 
 
-def test_zones_and_offset_check(spark):
+def test_zones_and_offset_check(spark, monkeypatch):
     zone = zone_frame(spark)
     points = spark.createDataFrame([(1, 45.0, 5.0), (2, 47.0, 7.0), (3, 38.0, 3.0), (4, 0.0, -170.0), (5, None, 1.0), (6, 39.9, -1.0)], "id int, lat double, lon double")
     found = {r.id: r.tz for r in zones.zone_of_points(points, "id", zone).collect()}
     assert found == {1: "Europe/Paris", 2: "Europe/Paris", 3: "Europe/Paris", 4: "Europe/London", 5: None, 6: "Europe/London"} | {4: found[4]}
+    monkeypatch.setattr(zones, "MOST_EDGES", 9)  # two blocks of zones
+    assert {r.id: r.tz for r in zones.zone_of_points(points, "id", zone).collect()} == found
     exact = {r.id: r.tz for r in zones.zone_of_points(points, "id", zone, tolerance=0).collect()}
     assert (exact[2], exact[3], exact[6]) == ("Europe/Paris", None, None)
     w = dt.datetime(2024, 1, 15, 12)
