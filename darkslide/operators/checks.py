@@ -48,28 +48,35 @@ def _value(tags: Column, name: Column) -> Column:
     return F.when(name.isNotNull(), F.try_element_at(tags, name))
 
 
-def _read(tags: Column, r: Column) -> Column:
-    """A registry entry with what its tag and companions say: seconds since 1970 as a wall time, offset, and errors."""
+def _joined(tags: Column, r: Column) -> Column:
+    """A registry entry with its tag's value, that and its companions' as one text, and the names of those."""
     own = _value(tags, r["tag"])
-    joined, names = own, r["tag"]
-    for companion, before in (("time_tag", " "), ("subsec_tag", "."), ("offset_tag", "")):
-        said = F.nullif(_value(tags, r[companion]), F.lit(""))
-        joined = F.when(said.isNotNull(), F.concat(joined, F.lit(before), said)).otherwise(joined)
-        names = F.when(said.isNotNull(), F.concat_ws("+", names, r[companion])).otherwise(names)
+    said = [(r[c], F.lit(before), F.nullif(_value(tags, r[c]), F.lit(""))) for c, before in (("time_tag", " "), ("subsec_tag", "."), ("offset_tag", ""))]
+    text = F.when(own.isNotNull(), F.concat(own, *[F.coalesce(F.concat(before, v), F.lit("")) for _, before, v in said]))
+    names = F.concat_ws("+", r["tag"], *[F.when(v.isNotNull(), name) for name, _, v in said])
+    return F.struct(*[r[n].alias(n) for n in _FIELDS], own.alias("own"), text.alias("text"), names.alias("names"), F.array_contains(F.map_keys(tags), r["tag"]).alias("present"))
+
+
+def _read(r: Column) -> Column:
+    """A joined entry with what it says: seconds since 1970 as a wall time, offset, and errors."""
     # Once the form fits, all but the fraction and offset stand at fixed places.
-    part = lambda i: F.substring(joined, *((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))[i - 1])
-    rest = F.substring(joined, 20, 40)
-    zone = F.regexp_extract(rest, r"(?:[+-][0-9]{2}:[0-9]{2}|Z)$", 0)
-    fits = own.isNotNull() & joined.rlike(_WHOLE) & (~rest.startswith(".") | r["form"].contains("f")) & F.when(r["form"].contains("u"), zone.isin("Z", "+00:00", "-00:00")).otherwise((zone == "") | r["form"].contains("z"))
-    day = F.unix_date(F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")).cast("bigint")
-    clock = F.when((part(4) < "24") & (part(5) < "60") & (part(6) < "60"), part(4).try_cast("bigint") * 3600 + part(5).try_cast("bigint") * 60 + part(6).try_cast("bigint"))
-    seconds = F.when(fits & (part(1) != "0000"), day * 86_400 + clock)
-    offset = F.when(fits, parse_offset(F.coalesce(r["fixed"], F.nullif(zone, F.lit("")))))
-    error = F.when(own.isNull(), F.concat(F.lit("DateTimeParseError: Cannot parse "), r["tag"], F.lit(" KeyError: '"), r["tag"], F.lit("'"))).when(
-        ~fits, F.concat(F.lit("DateTimeParseError: Cannot parse "), names, F.lit(" DateTimeParseError: '"), joined, F.lit("' does not match the form of a date and time"))
-    )
-    present = F.array_contains(F.map_keys(tags), r["tag"])
-    return F.struct(*[r[n].alias(n) for n in _FIELDS], own.alias("own"), present.alias("present"), seconds.alias("seconds"), offset.alias("offset"), (seconds - offset).alias("utc"), error.alias("error"), (fits & seconds.isNull()).alias("impossible"))
+    part = lambda at, n=2: F.substring(r["text"], at, n)
+    zone = F.regexp_extract(F.substring(r["text"], 20, 40), r"(?:[+-][0-9]{2}:[0-9]{2}|Z)$", 0)
+    fits = r["own"].isNotNull() & r["text"].rlike(_WHOLE) & ((part(20, 1) != ".") | r["form"].contains("f")) & F.when(r["form"].contains("u"), zone.isin("Z", "+00:00", "-00:00")).otherwise((zone == "") | r["form"].contains("z"))
+    day = F.unix_date(F.concat_ws("-", part(1, 4), part(6), part(9)).try_cast("date")).cast("bigint")
+    clock = F.when((part(12) < "24") & (part(15) < "60") & (part(18) < "60"), part(12).try_cast("bigint") * 3600 + part(15).try_cast("bigint") * 60 + part(18).try_cast("bigint"))
+    return F.struct(
+        *[r[n].alias(n) for n in (*_FIELDS, "own", "text", "names", "present")], fits.alias("fits"),
+        F.when(fits & (part(1, 4) != "0000"), day * 86_400 + clock).alias("seconds"), F.when(fits, parse_offset(F.coalesce(r["fixed"], F.nullif(zone, F.lit(""))))).alias("offset"),
+    )
+
+
+def _judged(r: Column) -> Column:
+    """A read entry with its UTC, and the error of one that is missing or doesn't fit."""
+    missing = F.concat(F.lit("DateTimeParseError: Cannot parse "), r["tag"], F.lit(" KeyError: '"), r["tag"], F.lit("'"))
+    unfit = F.concat(F.lit("DateTimeParseError: Cannot parse "), r["names"], F.lit(" DateTimeParseError: '"), r["text"], F.lit("' does not match the form of a date and time"))
+    error = F.when(r["own"].isNull(), missing).when(~r["fits"], unfit)
+    return F.struct(*[r[n].alias(n) for n in (*_FIELDS, "own", "present", "seconds", "offset")], (r["seconds"] - r["offset"]).alias("utc"), error.alias("error"), (r["fits"] & r["seconds"].isNull()).alias("impossible"))
 
 
 def _exif(seconds: Column) -> Column:
@@ -105,8 +112,8 @@ def datetime_findings(df: DataFrame, tags: str = "tags", keep: Sequence[str] = (
     but impossible dates give an error finding, alone. deletable details of one tag are joined by "; ". A null map has no findings.
     """
     tag_map = F.col(tags)
-    # Each stage goes through inline, which keeps the optimiser from copying its expressions into the next.
-    staged = df.select(*keep, tags, F.inline(F.array(F.struct(F.transform(_registry(), lambda r: _read(tag_map, r)).alias("_read")))))
+    # Each stage goes through inline, which keeps the optimiser from copying its expressions into the next; nested lambdas hold what a later one uses more than once.
+    staged = df.select(*keep, tags, F.inline(F.array(F.struct(F.transform(F.transform(F.transform(_registry(), lambda r: _joined(tag_map, r)), _read), _judged).alias("_read")))))
     anchor = F.col("_read")[0]
     others = F.filter(F.slice("_read", 2, len(REGISTRY) - 1), lambda r: r["present"])
     good = F.filter(others, lambda r: r["error"].isNull() & r["seconds"].isNotNull())
