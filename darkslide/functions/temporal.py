@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EXIF = r"^([0-9]{4}):([0-9]{2}):([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})$"
@@ -139,3 +139,24 @@ def wall_offset(zone: Column, wall: Column) -> Column:
 def first_of(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return reduce(lambda a, b: F.coalesce(a, b), [F.nullif(c, F.lit("")) for c in columns])
+
+
+def stringify(df: DataFrame, name: str, exif: bool = False) -> Column:
+    """The text of a column of wall times, days, times of day or durations, by the type it has in df; other types are refused."""
+    kind = df.schema[name].dataType.simpleString()
+    column = F.col(name)
+    if kind in ("timestamp_ntz", "timestamp"):
+        return stringify_datetime(column, exif)
+    if kind == "date":
+        return stringify_date(column, exif)
+    if kind.startswith("time("):
+        return column.cast("string")
+    if kind.startswith("interval day") or kind.startswith("interval hour"):
+        return format_offset(seconds_of(column))
+    raise TypeError(f"{name} is {kind}")
+
+
+def cozy(df: DataFrame, exif: bool = False) -> DataFrame:
+    """df with every column of a temporal type as text, others as they are."""
+    temporal = ("timestamp", "timestamp_ntz", "date", "time(", "interval day", "interval hour")
+    return df.select(*[stringify(df, c, exif).alias(c) if kind.startswith(temporal) else F.col(c) for c, kind in df.dtypes])

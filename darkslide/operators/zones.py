@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.functions.temporal import format_offset_floor, wall_offset
@@ -194,3 +194,22 @@ def needs_rebuild(files: DataFrame) -> DataFrame:
     index = F.max(F.when(F.col("kind") == "index", F.col("mtime")))
     newest = F.max(F.when(F.col("kind") != "index", F.col("mtime")))
     return files.agg((index.isNull() | F.coalesce(newest > index, F.lit(False))).alias("stale"))
+
+
+#: Of the layout of a stored zone table; one with another version is stale.
+TABLE_VERSION = 1
+
+
+def store_zones(zones: DataFrame, path: str, source: str) -> None:
+    """Writes the zone table with its version and where its data came from."""
+    zones.withColumn("version", F.lit(TABLE_VERSION)).withColumn("source", F.lit(source)).write.mode("overwrite").parquet(path)
+
+
+def load_zones(spark: SparkSession, path: str) -> DataFrame:
+    """A stored zone table of the present version; none of its rows, were it of another."""
+    return spark.read.parquet(path).where(F.col("version") == TABLE_VERSION)
+
+
+def needs_refresh(expected: DataFrame, present: DataFrame, key: str, stored_source: str | None, latest_source: str) -> bool:
+    """Whether zone data has to be fetched: the source has changed, or an expected file isn't there."""
+    return stored_source != latest_source or not missing_ids(expected, present, key).isEmpty()

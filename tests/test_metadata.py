@@ -209,3 +209,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.strip() == "a.jpg:\n  fixable:\n    ExifIFD:OffsetTime: +01:00"
     assert cli.main([path], spark) == 0 and "SourceFile: a.jpg" in capsys.readouterr().out
     assert cli.main(["set", "--tags", '{"K": "v"}', "a.jpg"], spark) == 0 and json.loads(capsys.readouterr().out) == {"source_file": "a.jpg", "key": "K", "value": '"v"'}
+
+
+def test_typed_texts(spark, tmp_path):
+    df = spark.sql("select timestamp_ntz'2024-01-02 03:04:05.5' as w, date'2024-01-02' as d, interval '-5:30' hour to minute as i, 'x' as s")
+    assert tuple(T.cozy(df, exif=True).first()) == ("2024:01:02 03:04:05.5", "2024:01:02", "-05:30", "x")
+    with pytest.raises(TypeError):
+        T.stringify(df, "s")
+
+
+def test_stored_zones(spark, tmp_path):
+    zone = zone_frame(spark)
+    zones.store_zones(zone, f"{tmp_path}/z", "u1")
+    assert zones.load_zones(spark, f"{tmp_path}/z").count() == 4
+    ids = zone.select(F.col("geo_id").alias("id"))
+    assert not zones.needs_refresh(ids, ids, "id", "u1", "u1")
+    assert zones.needs_refresh(ids, ids, "id", "u1", "u2") and zones.needs_refresh(ids, ids.limit(2), "id", "u1", "u1")
+
+
+def test_helpers():
+    from darkslide.functions import helpers as H
+
+    def f(self, a, b=2, **more):
+        return H.caller()
+
+    assert f(None, "x", c=3) == "f('x', 2, c=3)"
+    assert H.describe_error(ValueError("y")) == "ValueError: y" and (H.percent(1, 3), H.percent(None, 3), H.percent(1, 0)) == (33.3, None, None)
+    assert H.root_path("darkslide/cli.py", module=True) == "darkslide.cli" and H.root_path().endswith(H.root_path(relative=True).strip("."))
