@@ -89,6 +89,10 @@ def _finding(severity: str, tag: Column, detail: Column) -> Column:
     return F.struct(F.lit(severity).alias("severity"), tag.alias("tag"), detail.alias("detail"))
 
 
+def _nothing() -> Column:
+    return F.array().cast("array<struct<severity:string,tag:string,detail:string>>")
+
+
 def _fan(tags: Column, r: Column) -> Column:
     """The tag and those of its fraction and offset companions that the record has."""
     return F.filter(F.array(r["tag"], F.when(_value(tags, r["subsec_tag"]).isNotNull(), r["subsec_tag"]), F.when(_value(tags, r["offset_tag"]).isNotNull(), r["offset_tag"])), lambda x: x.isNotNull())
@@ -97,7 +101,7 @@ def _fan(tags: Column, r: Column) -> Column:
 def _deletable(tags: Column, r: Column, when: Column, detail: Column) -> Column:
     """Findings for the tag and its companions, none where when isn't true."""
     own = F.transform(_fan(tags, r), lambda t: _finding("deletable", t, detail))
-    return F.when(F.coalesce(when, F.lit(False)), own).otherwise(F.slice(own, 1, 0))
+    return F.when(F.coalesce(when, F.lit(False)), own).otherwise(_nothing())
 
 
 def _single(finding: Column, when: Column) -> Column:
@@ -155,13 +159,13 @@ def datetime_findings(df: DataFrame, tags: str = "tags", keep: Sequence[str] = (
     one = lambda f: F.array(f)
     impossible = a["impossible"] | F.exists(F.col("_others"), lambda r: r["impossible"])
     found = (
-        F.when(~F.coalesce(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in KNOWN])), F.lit(False)), F.slice(events, 1, 0))
+        F.when(~F.coalesce(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in KNOWN])), F.lit(False)), _nothing())
         .when(a["error"].isNotNull() & blank & proposal.isNotNull(), one(_finding("fixable", a["tag"], proposal)))
         .when(a["error"].isNotNull(), one(_finding("fatal", F.array_join(_fan(tag_map, a), "+"), a["error"])))
         .when(impossible, one(_finding("error", F.lit(ANCHOR), F.lit("ValueError"))))
         .otherwise(events)
     )
-    staged = staged.select(*keep, F.inline(F.array(F.struct(F.coalesce(found, F.slice(events, 1, 0)).alias("_events")))))
+    staged = staged.select(*keep, F.inline(F.array(F.struct(F.coalesce(found, _nothing()).alias("_events")))))
     return staged.select(*keep, merge_findings(F.col("_events")).alias("findings"))
 
 
