@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from darkslide.functions.schematree import STEP, edit_script, kind_of, nodes, record_of, rendered
 from darkslide.operators.skew import lookup_join
-from darkslide.session import written
+from darkslide.session import ship, written
 
 #: Pairs of an old and a new name, over all files, up to which the projections are made on the driver.
 MOST_NAMES = 1_000_000
@@ -48,6 +48,7 @@ def file_schemas(records: DataFrame, key: str, text: str) -> DataFrame:
                 k, path, kind = zip(*met)
                 yield pa.RecordBatch.from_arrays([pa.array(k, b.schema.field(0).type), pa.array(path), pa.array(kind)], names=[key, "path", "kind"])
 
+    ship(records.sparkSession)
     rows = records.select(key, text).mapInArrow(read, f"{key} {dict(records.dtypes)[key]}, path string, kind string").distinct()
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("path", "kind"))).alias("fields"))
 
@@ -158,6 +159,7 @@ def one_table(records: DataFrame, names: Mapping[str, str], columns: Mapping[str
 
     Nulls and absent keys give nulls; a record that is no JSON object has null columns and no fields; where a record uses two names of one field, the first by name counts. Repeated lines stay.
     """
+    ship(records.sparkSession)
     wanted = {names.get(field, field): column for column, field in columns.items()}
     order = list(columns)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from darkslide.functions.paths_text import directory_of
 from darkslide.functions.stamps import offset_minutes, offset_text, written_day
 from darkslide.operators.skew import lookup_join
-from darkslide.session import written
+from darkslide.session import ship, written
 
 
 def strict_modes(rows: DataFrame, key: str, field: str) -> DataFrame:
@@ -124,5 +124,6 @@ def days_and_offsets(records: DataFrame, id_column: str, path: str, stamp: str,
                 names=[id_column, "directory", "day", "day_missing", "offset", "offset_missing"],
             )
 
+    ship(records.sparkSession)
     rows = records.select(id_column, path, stamp, offset).distinct()
     return rows.mapInArrow(read, f"{id_column} {rows.dtypes[0][1]}, directory string, day string, day_missing boolean, offset string, offset_missing boolean")

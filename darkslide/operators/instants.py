@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from darkslide.functions.stamps import instant, utc_instant
 from darkslide.operators.skew import lookup_join
-from darkslide.session import small_enough, written
+from darkslide.session import ship, small_enough, written
 
 
 class StampField(NamedTuple):
@@ -44,6 +44,7 @@ def normalise_instants(df: DataFrame, fields: Sequence[StampField], id_column: s
     row; rows of one id with the same instant give one row. A null id is an id like others. Other columns are dropped.
     """
     spark = df.sparkSession
+    ship(spark)
     values = F.array(*[F.struct(F.lit(f.tag).alias("tag"), F.lit("utc" if f.utc else "wall").alias("kind"), F.trim(f.column).alias("raw"), (F.trim(f.companion) if f.companion else F.lit(None).cast("string")).alias("companion")) for f in fields])
     zone = F.col(zone_column) if zone_column else F.lit(None).cast("string")
     long = df.select(F.col(id_column).alias("_id"), zone.alias("zone"), F.inline(values)).where("raw <> ''")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from darkslide.session import ship
+
 # The separators. A slash separates only between two spaces.
 SEPARATORS = (",", ";", "|", "\n", "\r", "\t", "，", "、", "；", "·")
 QUOTES = ('"', "'")
@@ -223,6 +225,7 @@ def split_packed(df: DataFrame, fields: Mapping[str, str], keep: Sequence[str])
     """
     if clash := {"tag", "pos", "item"} & set(keep):
         raise ValueError(f"columns to keep are named like results: {sorted(clash)}")
+    ship(df.sparkSession)
     columns = list(dict.fromkeys([*keep, *fields.values()]))
     rows = df.select(*columns).where(F.coalesce(*[F.col(c) for c in fields.values()]).isNotNull()).distinct()
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("tag", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType())])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +15,30 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 _own_folder: str | None = None
-_written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application: their Python finds it wherever the driver's program was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="darkslide-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "darkslide.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -29,13 +52,14 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="darkslide-")
-        atexit.register(__import__("shutil").rmtree, _own_folder, True)
+        atexit.register(shutil.rmtree, _own_folder, True)
     return f"file://{_own_folder}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation, and its size is known."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/darkslide-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,6 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: a few small files would otherwise keep a stage of heavy work on a few of them."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from darkslide.functions.schematree import record_of
+from darkslide.session import ship
 
 #: Options of a reading session; the caller's come over them.
 DEFAULTS = {"group": "G1", "struct": True}
@@ -47,6 +48,7 @@ def read_json_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
 
     Broken texts and entries that are no objects give no rows.
     """
+    ship(spark)
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +81,7 @@ def read_yaml(path: str) -> object:
 
 def read_yaml_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """As read_json_records, from YAML files of one map, a list of maps, or maps by file name; each file is parsed by a task."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
