@@ -46,5 +46,5 @@ def decode_ids(df: DataFrame, id_column: str, ids_column: str = "ids", tokenizer
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else own.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=[id_column, "text"])
 
-    rows = df.select(id_column, ids_column)
+    rows = spread(df.select(id_column, ids_column))
     return rows.mapInArrow(decode, f"{id_column} {rows.dtypes[0][1]}, text string")
