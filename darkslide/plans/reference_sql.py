@@ -97,7 +97,7 @@ ORACLES = {
     "path_pop": "SELECT event_id, '{}' AS rest FROM events",
     "listify": "SELECT n_nationkey, array_to_string([n_name], ',') AS names FROM nation",
     "map_values_keys": """SELECT event_id, '{"K": ' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS VARCHAR) || '}' AS props FROM events""",
-    "keyword_split": r"SELECT rec_id, array_to_string(list_filter(list_transform(regexp_split_to_array(iptc_keywords, '\s*[,;]\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM (SELECT DISTINCT rec_id, iptc_keywords FROM photo_record WHERE iptc_keywords IS NOT NULL)",
+    "keyword_split": r"SELECT rec_id, array_to_string(list_filter(list_transform(regexp_split_to_array(iptc_keywords, '[\s\p{Z}]*[,;][\s\p{Z}]*'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> ''), '|') AS keywords FROM (SELECT DISTINCT rec_id, iptc_keywords FROM photo_record WHERE iptc_keywords IS NOT NULL)",
     "position_split": f"""WITH t AS (SELECT rec_id, regexp_split_to_array(concat_ws('; ', composite_gps_latitude, composite_gps_longitude), '\\s*[,;]\\s*') AS p FROM {_PHOTO}),
         n AS (SELECT rec_id, CASE WHEN len(p) = 2 THEN {_NUMBER.format('p[1]')} END AS lat, CASE WHEN len(p) = 2 THEN {_NUMBER.format('p[2]')} END AS lon FROM t)
         SELECT rec_id, CASE WHEN lon IS NOT NULL THEN round(lat, 6) END AS lat, CASE WHEN lat IS NOT NULL THEN round(lon, 6) END AS lon FROM n""",

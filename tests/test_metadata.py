@@ -79,7 +79,7 @@ def test_numbers(spark):
     assert [one(spark, N.to_int(F.col("t")), t=t) for t in ("12", "3.7", "99999999999999999999", "-4")] == [12, None, None, -4]
     assert one(spark, N.x_join(F.col("t")), t=" 384  512 ") == "384x512"
     assert [one(spark, N.signed8(F.col("t")), t=t) for t in ("47.5 -19.25", "47.5, 19")] == ["+47.50000000, -19.25000000", None]
-    assert one(spark, N.keywords(F.col("t")), t=" a, b ;;c ") == ["a", "b", "c"]
+    assert one(spark, N.keywords(F.col("t")), t=" a,\xa0b ;;\tc\n") == ["a", "b", "c"]
 
 
 def tags(spark, **values):
