@@ -193,7 +193,7 @@ def keyword_split(spark: SparkSession, folder: str) -> DataFrame:
 def position_split(spark: SparkSession, folder: str) -> DataFrame:
     photos = table(spark, folder, "photo_record").select("rec_id", "composite_gps_latitude", "composite_gps_longitude").distinct()
     lat, lon = N.split_position(F.concat_ws("; ", "composite_gps_latitude", "composite_gps_longitude"))
-    return photos.select("rec_id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+    return photos.select("rec_id", lat.alias("lat"), lon.alias("lon"))
 
 
 def x_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,7 +215,7 @@ def flatten_singleton(spark: SparkSession, folder: str) -> DataFrame:
 
 def typed_cast(spark: SparkSession, folder: str) -> DataFrame:
     photos = table(spark, folder, "photo_record").select("rec_id", "exififd_exposure_compensation", "composite_gps_latitude", F.col("xmp_rating").cast("string").alias("rating")).distinct()
-    return photos.select("rec_id", N.to_float(F.col("exififd_exposure_compensation")).alias("compensation"), F.round(N.to_float(F.col("composite_gps_latitude")), 6).alias("lat"), N.to_int(F.col("rating")).alias("rating"))
+    return photos.select("rec_id", N.to_float(F.col("exififd_exposure_compensation")).alias("compensation"), N.to_float(F.col("composite_gps_latitude")).alias("lat"), N.to_int(F.col("rating")).alias("rating"))
 
 
 def delete_tags(spark: SparkSession, folder: str) -> DataFrame:

@@ -100,11 +100,11 @@ ORACLES = {
     "keyword_split": r"SELECT rec_id, array_to_string(list_filter(list_transform(regexp_split_to_array(iptc_keywords, '[\s\p{Z}]*[,;][\s\p{Z}]*'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> ''), '|') AS keywords FROM (SELECT DISTINCT rec_id, iptc_keywords FROM photo_record WHERE iptc_keywords IS NOT NULL)",
     "position_split": f"""WITH t AS (SELECT rec_id, regexp_split_to_array(concat_ws('; ', composite_gps_latitude, composite_gps_longitude), '\\s*[,;]\\s*') AS p FROM {_PHOTO}),
         n AS (SELECT rec_id, CASE WHEN len(p) = 2 THEN {_NUMBER.format('p[1]')} END AS lat, CASE WHEN len(p) = 2 THEN {_NUMBER.format('p[2]')} END AS lon FROM t)
-        SELECT rec_id, CASE WHEN lon IS NOT NULL THEN round(lat, 6) END AS lat, CASE WHEN lat IS NOT NULL THEN round(lon, 6) END AS lon FROM n""",
+        SELECT rec_id, CASE WHEN lon IS NOT NULL THEN lat END AS lat, CASE WHEN lat IS NOT NULL THEN lon END AS lon FROM n""",
     "x_join": f"SELECT rec_id, concat_ws('x', file_image_width, file_image_height) AS size FROM (SELECT DISTINCT rec_id, file_image_width, file_image_height FROM {_PHOTO})",
     "signed8": f"WITH {_POINTS} SELECT event_id, printf('%+.8f', CAST(printf('%.2f', lat) AS DOUBLE)) || ', ' || printf('%+.8f', CAST(printf('%.2f', lon) AS DOUBLE)) AS position FROM points",
     "flatten_singleton": "SELECT n_regionkey, CAST(min(n_nationkey) AS VARCHAR) AS first, CASE WHEN count(*) = 1 THEN CAST(min(n_nationkey) AS VARCHAR) ELSE '[' || string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) || ']' END AS all_keys FROM nation GROUP BY n_regionkey",
-    "typed_cast": f"SELECT rec_id, {_NUMBER.format('exififd_exposure_compensation')} AS compensation, round({_NUMBER.format('composite_gps_latitude')}, 6) AS lat, CAST(xmp_rating AS BIGINT) AS rating FROM {_PHOTO}",
+    "typed_cast": f"SELECT rec_id, {_NUMBER.format('exififd_exposure_compensation')} AS compensation, {_NUMBER.format('composite_gps_latitude')} AS lat, CAST(xmp_rating AS BIGINT) AS rating FROM {_PHOTO}",
     "delete_tags": f"WITH {_LONG} SELECT tag, count(*) AS records FROM long WHERE v IS NOT NULL AND tag NOT IN ('SourceFile', 'System:FileModifyDate', 'IPTC:Keywords') GROUP BY tag",
     "rename_group": f"WITH {_LONG} SELECT CASE WHEN tag LIKE 'ExifIFD:%' THEN replace(tag, 'ExifIFD:', 'EXIF:') WHEN tag LIKE 'System:%' THEN replace(tag, 'System:', 'File:') ELSE tag END AS tag, count(*) AS records FROM long WHERE v IS NOT NULL GROUP BY 1",
     "equality_groups": f"SELECT rec_id, CAST(1 AS BIGINT) AS unequal FROM {_PHOTO} WHERE iptc_keywords <> xmp_subject",

@@ -19,7 +19,7 @@ def views(folder: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value: object) -> object:
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value + 0.0:.6g}"
+        return "nan" if math.isnan(value) else f"{value + 0.0!r}"
     return "" if value is None else str(value)
 
 
