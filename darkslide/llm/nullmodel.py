@@ -51,17 +51,18 @@ class ConfigurationNull:
 
 
 def log_tail(q: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """log P(X >= t) of the Poisson-binomial X with m_k trials of probability q_k, by column of q: the Lugannani-Rice saddlepoint for lattice variables."""
+    """log P(X >= t) of the Poisson-binomial X with m_k trials of probability q_k, by column of q: exact for a t of 1 or less and of all trials, between them the Lugannani-Rice saddlepoint for lattice variables."""
     q = np.clip(q, 1e-300, 1 - 1e-12)
     m = m[:, None]
-    mean = (m * q).sum(0)
     t = np.asarray(t, float)
     most = float(m.sum())
     out = np.zeros(len(t))
-    deep = (t > mean + 1e-9) & (t < most)
+    deep = (t > 1) & (t < most)
     out[t > most] = -np.inf
     full = t == most
     out[full] = (m * np.log(q[:, full])).sum(0)
+    one = (t == 1) & ~full
+    out[one] = np.log(np.maximum(-np.expm1((m * np.log1p(-q[:, one])).sum(0)), 1e-300))
     if not deep.any():
         return out
     q, t = q[:, deep], t[deep]
@@ -71,14 +72,14 @@ def log_tail(q: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
         tilted = e / (1 - q + e)
         first, second = (m * tilted).sum(0), (m * tilted * (1 - tilted)).sum(0)
         step = np.clip((t - first) / np.maximum(second, 1e-300), -2, 2)
-        s = np.maximum(s + step, 1e-9)
+        s = s + step
         if np.abs(step).max() < 1e-10:
             break
     e = q * np.exp(np.minimum(s, 600.0))
     tilted = e / (1 - q + e)
     second = (m * tilted * (1 - tilted)).sum(0)
     height = s * t - (m * np.log1p(q * np.expm1(np.minimum(s, 600.0)))).sum(0)
-    w = np.sqrt(2 * np.maximum(height, 0))
+    w = np.sign(s) * np.sqrt(2 * np.maximum(height, 0))
     u = -np.expm1(-s) * np.sqrt(second)
     near = w < 5
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -86,6 +87,8 @@ def log_tail(q: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
         close = 0.5 * _erfc(w / math.sqrt(2)) + density * (1 / u - 1 / w)
         far = -w * w / 2 - 0.5 * math.log(2 * math.pi) + np.log(np.maximum(1 / u - 1 / w**3 + 3 / w**5, 1e-300))
         value = np.where(near, np.log(np.clip(close, 1e-300, 1)), far)
-    # At the mean itself the formula is singular: there the tail is about a half.
-    out[deep] = np.minimum(np.where(w < 1e-3, math.log(0.5), value), 0)
+    # At the mean itself the formula is singular: there the tail is its limit.
+    third = (m * tilted * (1 - tilted) * (1 - 2 * tilted)).sum(0)
+    middle = 0.5 + (1 / (2 * np.sqrt(second)) - third / (6 * second**1.5)) / math.sqrt(2 * math.pi)
+    out[deep] = np.minimum(np.where(np.abs(w) < 1e-3, np.log(np.clip(middle, 1e-300, 1)), value), 0)
     return out

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkslide.llm.nullmodel import ConfigurationNull
@@ -87,14 +87,34 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def surprising_pairs(df: DataFrame, id_column: str, columns: Sequence[str], min_together: int = MIN_TOGETHER, min_ratio: int = MIN_RATIO) -> DataFrame:
-    """Rows (term_a, term_b, together, n_a, n_b, expected, log10_p, q_value) of every pair in min_together or more records and min_ratio or more times as often as chance.
+    """Rows (term_a, term_b, together, n_a, n_b, expected, log10_p, q_value) of every pair in min_together or more records and min_ratio or more times as often as chance; with 1 and 0, of every pair that stands together at all.
+
+    q_value is Benjamini-Hochberg's over all pairs of all terms, from ranks in bins of p: every pair is counted and judged,
+    and the two limits only choose among the rows then, so they change no value of a row. Pairs that never stand
+    together have p = 1. The rest is as in judged_pairs.
+    """
+    judged, number, whole = _judged(df, id_column, columns, 1, 0)
+    return _with_q(judged, number * (number - 1) // 2).where((F.col("together") >= min_together) & _exceeds(whole, min_ratio)) if whole else judged.withColumn("q_value", F.lit(None).cast("double"))
+
+
+def judged_pairs(df: DataFrame, id_column: str, columns: Sequence[str], min_together: int = MIN_TOGETHER, min_ratio: int = MIN_RATIO) -> DataFrame:
+    """Rows as of surprising_pairs without q_value, which needs all pairs: here those beyond the limits aren't counted.
 
     together, n_a and n_b are exact. A term in fewer than min_together records, or in more than one min_ratio-th of
     them, is in no such pair whatever its partners are, so these are left out before pairs are formed. expected and log10_p are of the configuration model fitted to the term frequencies
-    and basket sizes; q_value is Benjamini-Hochberg's over all pairs of the terms that remain, from ranks in
-    bins of p. Rows equal in id and columns are one record; null and blank texts hold no term; an
+    and basket sizes. Rows equal in id and columns are one record; null and blank texts hold no term; an
     empty table gives no rows.
     """
+    return _judged(df, id_column, columns, min_together, min_ratio)[0]
+
+
+def _exceeds(whole: int, min_ratio: int) -> Column:
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    return big("together") * F.lit(whole).cast("decimal(19,0)") >= F.lit(min_ratio) * big("n_a") * big("n_b")
+
+
+def _judged(df: DataFrame, id_column: str, columns: Sequence[str], min_together: int, min_ratio: int) -> tuple[DataFrame, int, int]:
+    """judged_pairs, the number of terms that can be in them, and of records with any term."""
     baskets = written(baskets_of(df, id_column, columns), "baskets")
     spark = df.sparkSession
     whole = baskets.count()
@@ -124,23 +144,24 @@ def surprising_pairs(df: DataFrame, id_column: str, columns: Sequence[str], min_
     side = F.broadcast(able) if small_enough(number) else able
     for x in "ab":
         pairs = pairs.join(side.select(F.col("id").alias(x), F.col("term").alias(f"term_{x}"), F.col("n").alias(f"n_{x}")), x)
-    big = lambda c: F.col(c).cast("decimal(19,0)")
-    pairs = pairs.where(big("together") * F.lit(whole).cast("decimal(19,0)") >= F.lit(min_ratio) * big("n_a") * big("n_b"))
+    pairs = pairs.where(_exceeds(whole, min_ratio))
     flip = F.col("term_a") > F.col("term_b")
     pairs = pairs.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("term_a", "term_b"), ("term_b", "term_a"))], "together", *[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("n_a", "n_b"), ("n_b", "n_a"))])
     if not whole:
-        return pairs.select("*", *[F.lit(None).cast("double").alias(c) for c in ("expected", "log10_p", "q_value")])
+        return pairs.select("*", *[F.lit(None).cast("double").alias(c) for c in ("expected", "log10_p")]), number, whole
     null = ConfigurationNull(sizes, degrees)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, t = (batch.column(c).to_numpy() for c in ("n_a", "n_b", "together"))
             if len(t):
-                expected, log_p = null.tails(a, b, t)
+                # Rare pairs mostly share their three numbers, each of which is judged once.
+                (low, high, each), at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), t]), axis=1, return_inverse=True)
+                expected, log_p = (x[at.ravel()] for x in null.tails(low, high, each))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(log_p / math.log(10))], names=[*batch.schema.names, "expected", "log10_p"])
 
     judged = written(pairs.mapInArrow(judge, "term_a string, term_b string, together bigint, n_a bigint, n_b bigint, expected double, log10_p double"), "pairs")
-    return _with_q(judged, number * (number - 1) // 2)
+    return judged, number, whole
 
 
 def _with_q(judged: DataFrame, tests: int) -> DataFrame:

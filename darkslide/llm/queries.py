@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from darkslide.llm.encode import count_tokens, decode_ids, encode_texts
 from darkslide.llm.mojibake import restore_garbled
 from darkslide.llm.packing import fill_containers
-from darkslide.llm.pairs import surprising_pairs
+from darkslide.llm.pairs import judged_pairs, surprising_pairs
 from darkslide.llm.terms import mark_terms
 from darkslide.session import table
 
@@ -27,11 +27,12 @@ def p2_ngrams(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return surprising_pairs(table(spark, folder, "photo_record"), "rec_id", KEYWORD_COLUMNS).select("term_a", "term_b", "together")
+    return judged_pairs(table(spark, folder, "photo_record"), "rec_id", KEYWORD_COLUMNS).select("term_a", "term_b", "together")
 
 
 def p4_surprise(spark: SparkSession, folder: str) -> DataFrame:
-    return surprising_pairs(table(spark, folder, "photo_record"), "rec_id", KEYWORD_COLUMNS)
+    """Every pair of terms in a common record, with its ratio to chance: together against expected, and how unlikely that is."""
+    return surprising_pairs(table(spark, folder, "photo_record"), "rec_id", KEYWORD_COLUMNS, min_together=1, min_ratio=0)
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

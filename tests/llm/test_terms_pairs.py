@@ -84,6 +84,27 @@ def test_pairs(spark, monkeypatch, small):
     assert all(r.q_value <= 1 and r.log10_p <= 0 and r.expected < r.together for r in found.values())
 
 
+def test_every_pair_and_q_over_all(spark):
+    rows = records(2)
+    df = spark.createDataFrame(rows, "id bigint, k string, s string")
+    single, both = Counter(), Counter()
+    for _, a, b in rows:
+        terms = {term_of(x) for t in (a, b) if t for x in split_text(t)}
+        single.update(terms)
+        both.update(itertools.combinations(sorted(terms), 2))
+    found = {(r.term_a, r.term_b): r for r in surprising_pairs(df, "id", ["k", "s"], 1, 0).collect()}
+    assert {k: r.together for k, r in found.items()} == both
+    tests, ranked = len(single) * (len(single) - 1) // 2, sorted(found.values(), key=lambda r: r.log10_p)
+    least, q = 1.0, {}
+    for rank in range(len(ranked), 0, -1):
+        r = ranked[rank - 1]
+        least = min(least, 10 ** max(r.log10_p, -40) * tests / rank)
+        q[r.term_a, r.term_b] = least
+    assert all(q[k] * 0.999 <= r.q_value <= q[k] * 1.01 for k, r in found.items())
+    limited = {(r.term_a, r.term_b): r for r in surprising_pairs(df, "id", ["k", "s"]).collect()}
+    assert limited == {k: r for k, r in found.items() if k in expected_pairs(rows)}
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([(1, None, None)], "id bigint, k string, s string")
     assert surprising_pairs(df, "id", ["k", "s"]).count() == surprising_pairs(df.limit(0), "id", ["k", "s"]).count() == 0
@@ -114,3 +135,11 @@ def test_tail_against_exact():
     for t in (9, 12, 16, 25):
         found = log_tail(q, m, np.array([t]))[0]
         assert abs(found - math.log(exact[t:].sum())) < 0.02 * max(1, abs(math.log(exact[t:].sum())))
+
+
+def test_tail_of_one_and_below_the_mean():
+    m, q = np.array([30.0]), np.array([[0.2]])
+    for t in range(1, 8):
+        exact = sum(math.comb(30, i) * 0.2**i * 0.8 ** (30 - i) for i in range(t, 31))
+        assert abs(math.exp(log_tail(q, m, np.array([t]))[0]) - exact) < 0.005
+    assert abs(log_tail(np.array([[1e-5]]), m, np.array([1]))[0] - math.log(3e-4)) < 1e-3
