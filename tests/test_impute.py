@@ -45,3 +45,33 @@ def test_numeric_keeps_spread_and_observed(spark):
     assert all(found[i].y_filled for i in range(0, 600, 3)) and abs(statistics.mean(residuals)) < 0.15 and 0.35 < statistics.stdev(residuals) < 0.65
     empty = spark.createDataFrame([(1, None, None)], "id bigint, x double, y double")
     assert tuple(chained_imputation(empty, "id", [], numeric=["x", "y"]).first())[1] is None
+
+
+def test_numeric_by_group_and_category(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(1200):
+        g, c, x = rng.randrange(6), rng.choice("pq"), rng.gauss(0, 1)
+        y = 10 * g + (4 if c == "q" else 0) + x + rng.gauss(0, 0.5)
+        rows.append((i, None if i % 50 == 0 else f"g{g}", c, x, y if i % 3 else None, g))
+    df = spark.createDataFrame(rows, "id bigint, g string, kind string, x double, y double, true_g int")
+    found = {r.id: r for r in chained_imputation(df, "id", ["g"], ["kind"], ["x", "y"]).collect()}
+    gaps = [r for r in rows if r[4] is None and r[1] is not None]
+    residuals = [found[r[0]].y - (10 * r[5] + (4 if r[2] == "q" else 0) + r[3]) for r in gaps]
+    assert abs(statistics.mean(residuals)) < 0.3 and 0.35 < statistics.stdev(residuals) < 0.8
+    # Without a group, any may be the one.
+    assert statistics.stdev(found[r[0]].y for r in rows if r[4] is None and r[1] is None) > 5
+
+
+def test_noise_groups_have_no_effect_and_numbers_classify(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, f"g{i // 3}", None if i % 4 == 0 else ("low" if i % 100 < 50 else "high"), float(i % 100), None if i % 3 == 0 else rng.gauss(5, 1)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, g string, kind string, x double, y double")
+    found = {r.id: r for r in chained_imputation(df, "id", [], ["kind"], ["x", "y"]).collect()}
+    assert all(found[i].kind == ("low" if i % 100 < 50 else "high") and found[i].kind_level == "field:x" for i in range(0, 900, 4))
+    filled = [r.y for r in chained_imputation(df, "id", ["g"], [], ["y"]).collect() if r.y_filled]
+    assert 4.7 < statistics.mean(filled) < 5.3 and 0.8 < statistics.stdev(filled) < 1.2
