@@ -10,8 +10,9 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.operators import checks, rules
+from darkslide.operators import checks, rules, zones
 from darkslide.sources.records import change_set, expand, ordered_json, read_json_records, read_yaml, yaml_text
+from darkslide.session import written
 
 COMMANDS = ("get", "set", "chk", "-h", "--help")
 
@@ -28,7 +29,11 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--rules")
     sub.choices["get"].add_argument("--dictify", "-d", action="store_true")
     sub.choices["set"].add_argument("--tags", required=True)
-    sub.choices["chk"].add_argument("--tolerance_meters", "-m", type=int, default=200)
+    chk = sub.choices["chk"]
+    chk.add_argument("--tolerance_meters", "-m", type=int, default=200)
+    chk.add_argument("--dt", action="store_true", help="dates, times and offsets against each other; both checks where none is named")
+    chk.add_argument("--geotz", action="store_true", help="offsets against the place, of files without findings of the other check; needs --zones")
+    chk.add_argument("--zones", help="a zone table stored by store_zones")
     return main
 
 
@@ -51,17 +56,41 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     said = parser().parse_args(args)
     spark = spark or SparkSession.builder.getOrCreate()
     if said.command == "chk":
+        if said.geotz and not said.zones:
+            parser().error("--geotz needs --zones")
+        both = not (said.dt or said.geotz)
+        if both and not said.zones:
+            print("geotz is not checked: no --zones", file=sys.stderr)
         records = _records(spark, said.files).where(F.col("source_file").endswith(".jpg"))
-        found = checks.failing(checks.datetime_findings(records.select("source_file", rules.as_map(F.col("tags")).alias("tags"))))
+        values = F.transform("tags", lambda t: F.try_variant_get(t["value"], "$", "string"))
+        records = written(records.select(F.monotonically_increasing_id().alias("id"), "source_file", rules.as_map(F.col("tags")).alias("tags"), values.alias("ordered")), "records")
+        failed = None
+        if both or said.dt:
+            found = checks.failing(checks.datetime_findings(records, keep=["id", "source_file"]))
+            failed = written(found.select("id", "source_file", F.to_json(checks.findings_by_severity(F.col("findings"))).alias("f")), "findings")
+        if said.zones and (both or said.geotz):
+            rest = records if failed is None else records.join(failed.select("id"), "id", "left_anti")
+            lat, lon = checks.place_of(F.col("tags"))
+            rows = rest.select("id", F.inline(F.array(F.struct(lat.alias("lat"), lon.alias("lon"), checks.capture_time(F.col("tags")).alias("wall"), checks.declared_offset(F.col("tags"), F.col("ordered")).alias("declared")))))
+            wrong = zones.check_offsets(rows, "id", zones.load_zones(spark, said.zones), said.tolerance_meters).where("error_class = 'TzMismatchError'")
+            of_place = wrong.join(records.select("id", "source_file"), "id").select("id", "source_file", F.to_json(F.create_map("error_class", "error")).alias("f"))
+            failed = of_place if failed is None else failed.unionByName(of_place)
         code = 0
-        for row in found.select("source_file", F.to_json(checks.findings_by_severity(F.col("findings"))).alias("f")).toLocalIterator():
+        for row in failed.orderBy("id").toLocalIterator():
             print(yaml.safe_dump({row.source_file: json.loads(row.f)}, sort_keys=False, allow_unicode=True).strip())
             code = 1
         return code
     names = [*rules.TRANSFORMATIONS, "check"] if "ALL" in said.transform else said.transform
     if said.command == "set":
         files = spark.createDataFrame([(f,) for f in expand(said.files)], "source_file string")
-        for row in change_set(files, yaml.safe_load(said.tags)).toLocalIterator():
+        tags = yaml.safe_load(said.tags)
+        if names:
+            given = F.array(*[F.struct(F.lit(k).alias("key"), F.parse_json(F.lit(json.dumps(v, ensure_ascii=False))).alias("value")) for k, v in tags.items()])
+            done = rules.transform_records(spark.range(1).select(given.alias("tags")), _rules(said.rules), names).first()
+            tags = {t.key: json.loads(t.value.toJson()) for t in done.tags}
+            for text in done.asDict().get("unequal") or []:
+                print(text, file=sys.stderr)
+        for row in change_set(files, tags).toLocalIterator():
             print(json.dumps(row.asDict(), ensure_ascii=False))
         return 0
     done = rules.transform_records(_records(spark, said.files), _rules(said.rules), names)

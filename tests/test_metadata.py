@@ -211,6 +211,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["set", "--tags", '{"K": "v"}', "a.jpg"], spark) == 0 and json.loads(capsys.readouterr().out) == {"source_file": "a.jpg", "key": "K", "value": '"v"'}
 
 
+def test_command_line_zones_and_transformations(spark, tmp_path, capsys):
+    from unittest import mock
+
+    ring = [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]]
+    zone = spark.createDataFrame([(1, "Europe/Paris", "1", 0.0, 0.0, 10.0, 10.0, 5.0, ring)], "pos int, tz_name string, geo_id string, min_lon double, min_lat double, max_lon double, max_lat double, centroid_lon double, rings array<array<struct<lon double, lat double>>>")
+    zones.store_zones(zone, f"{tmp_path}/z", "u")
+    place = {"Composite:GPSLatitude": 5.0, "Composite:GPSLongitude": 5.0, "EXIF:DateTimeOriginal": "2002:12:15 11:37:45"}
+    (tmp_path / "x.json").write_text(json.dumps([{"SourceFile": "a.jpg", **place, "EXIF:OffsetTimeOriginal": "+05:00"}, {"SourceFile": "b.jpg", **place, "EXIF:OffsetTimeOriginal": "+01:00"}]))
+    path = str(tmp_path / "x.json")
+    assert cli.main(["chk", "--geotz", "--zones", f"{tmp_path}/z", path], spark) == 1
+    said = capsys.readouterr().out
+    assert said.startswith("a.jpg:\n  TzMismatchError:") and "expected=''+01:00''" in said and "b.jpg" not in said
+    with mock.patch.object(cli.zones, "check_offsets", wraps=zones.check_offsets) as called:
+        cli.main(["chk", "-m", "300", "--zones", f"{tmp_path}/z", path], spark)
+    assert called.call_args.args[3] == 300
+    given = json.dumps({"XMP:Subject": "x"})
+    steps = {"cool_in": lambda t, r: F.transform(t, lambda x: F.struct(F.concat(F.lit("In:"), x["key"]).alias("key"), x["value"].alias("value")))}
+    capsys.readouterr()
+    with mock.patch.dict(cli.rules.TRANSFORMATIONS, steps):
+        assert cli.main(["set", "-t", "cool_in", "--tags", given, "a.jpg"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"source_file": "a.jpg", "key": "In:XMP:Subject", "value": '"x"'}
+
+
 def test_typed_texts(spark, tmp_path):
     df = spark.sql("select timestamp_ntz'2024-01-02 03:04:05.5' as w, date'2024-01-02' as d, interval '-5:30' hour to minute as i, 'x' as s")
     assert tuple(T.cozy(df, exif=True).first()) == ("2024:01:02 03:04:05.5", "2024:01:02", "-05:30", "x")
