@@ -70,9 +70,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             failed = written(found.select("id", "source_file", F.to_json(checks.findings_by_severity(F.col("findings"))).alias("f")), "findings")
         if said.zones and (both or said.geotz):
             rest = records if failed is None else records.join(failed.select("id"), "id", "left_anti")
-            lat, lon = checks.place_of(F.col("tags"))
-            rows = rest.select("id", F.inline(F.array(F.struct(lat.alias("lat"), lon.alias("lon"), checks.capture_time(F.col("tags")).alias("wall"), checks.declared_offset(F.col("tags"), F.col("ordered")).alias("declared")))))
-            wrong = zones.check_offsets(rows, "id", zones.load_zones(spark, said.zones), said.tolerance_meters).where("error_class = 'TzMismatchError'")
+            rows = rest.select("id", F.inline(F.array(checks.offset_facts(F.col("tags"), F.col("ordered")))))
+            wrong = zones.check_offsets(rows, "id", zones.load_zones(spark, said.zones), said.tolerance_meters).where("error_class in ('TzMismatchError', 'ValueError')")
             of_place = wrong.join(records.select("id", "source_file"), "id").select("id", "source_file", F.to_json(F.create_map("error_class", "error")).alias("f"))
             failed = of_place if failed is None else failed.unionByName(of_place)
         code = 0
@@ -94,8 +93,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(json.dumps(row.asDict(), ensure_ascii=False))
         return 0
     done = rules.transform_records(_records(spark, said.files), _rules(said.rules), names)
+    # A pattern may stand for several files.
+    many = said.dictify or len(expand(said.files)) > 1
     for row in done.select("source_file", yaml_text(ordered_json(F.col("tags"))).alias("text")).toLocalIterator():
-        many = said.dictify or len(said.files) > 1
         print(yaml.safe_dump({row.source_file: yaml.safe_load(row.text)}, sort_keys=False, allow_unicode=True).strip() if many else row.text)
     return 0
 

@@ -41,6 +41,11 @@ def parse_naive(text: Column) -> Column:
     return F.when(text.rlike(_EXIF), wall_time(*_parts(text, _EXIF, 6))).when(text.rlike(_ISO), iso(_ISO)).when(text.rlike(_ISO_BASIC), iso(_ISO_BASIC))
 
 
+def has_exif_form(text: Column) -> Column:
+    """Whether a text has the form of an EXIF date and time, whatever its numbers."""
+    return text.rlike(_EXIF)
+
+
 def path_date(path: Column) -> Column:
     """The date that a path .../photos/YYYY/MM/DD... proposes, as an EXIF text; null without one. The parts are taken as they are."""
     form = r"photos/(....)/(..)/(..)"

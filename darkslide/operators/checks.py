@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.functions.nested import to_float
 from darkslide.functions.temporal import format_offset, normalize_offset, parse_naive, parse_offset, path_date
 
 # Fixed values, in this order: tag, companion of the time, of fractions, of the offset, fixed offset, forms allowed
@@ -137,6 +138,7 @@ def datetime_findings(df: DataFrame, tags: str = "tags", keep: Sequence[str] = (
         differs = r["fixed"].isNull() & r["offset"].isNotNull() & (r["offset"] != offset)
         mendable = r["offset_tag"].isNull() & ~r["aware"]
         own_text = format_offset(r["offset"])
+        timeless = r["offset_tag"].isNull() & r["time_tag"].isNotNull() & _value(tag_map, r["time_tag"]).isNull()
         bare = F.when(F.endswith(r["own"], own_text), F.substring(r["own"], F.lit(1), F.length(r["own"]) - F.length(own_text))).otherwise(r["own"])
         return F.concat(
             naive,
@@ -145,8 +147,10 @@ def datetime_findings(df: DataFrame, tags: str = "tags", keep: Sequence[str] = (
             _deletable(tag_map, r, r["utc"].isNotNull() & (apart(r["utc"], utc) > r["tolerance"]), versus("utc", r["utc"], utc)),
             _single(
                 _finding("fixable", F.coalesce(r["offset_tag"], r["time_tag"], r["tag"]), F.when(r["offset_tag"].isNotNull(), offset_text).when(r["time_tag"].isNotNull(), F.concat(_value(tag_map, r["time_tag"]), offset_text)).otherwise(F.concat(r["own"], offset_text))),
-                r["utc"].isNull() & utc.isNotNull() & offset.isNotNull(),
+                r["utc"].isNull() & utc.isNotNull() & offset.isNotNull() & ~timeless,
             ),
+            # Whole date and time in a date's tag: there is no time tag that the offset could be added to.
+            _single(_finding("error", r["tag"], F.concat(F.lit("KeyError: '"), r["time_tag"], F.lit("'"))), r["utc"].isNull() & utc.isNotNull() & offset.isNotNull() & timeless),
             _deletable(tag_map, r, r["utc"].isNull() & utc.isNotNull() & offset.isNull(), F.lit("could not determine UTC datetime for comparison")),
         )
 
@@ -196,13 +200,24 @@ MORE_OFFSET_TAGS = ("XMP:TimeZone", "XMP:Timezone", "XMP:TimeZoneOffset", "XMP:T
 
 def place_of(tags: Column) -> tuple[Column, Column]:
     """Latitude and longitude of the first pair of tags that are both numbers."""
-    found = F.coalesce(*[F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))) for a, b in PLACE_TAGS for lat, lon in [(F.trim(F.try_element_at(tags, F.lit(a))).try_cast("double"), F.trim(F.try_element_at(tags, F.lit(b))).try_cast("double"))]])
+    found = F.coalesce(*[F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))) for a, b in PLACE_TAGS for lat, lon in [(to_float(F.try_element_at(tags, F.lit(a))), to_float(F.try_element_at(tags, F.lit(b))))]])
     return found["lat"], found["lon"]
 
 
+def capture_text(tags: Column) -> Column:
+    """Text of the first capture tag that isn't empty."""
+    return F.coalesce(*[F.nullif(F.try_element_at(tags, F.lit(t)), F.lit("")) for t in CAPTURE_TAGS])
+
+
 def capture_time(tags: Column) -> Column:
     """Wall time of the first capture tag that isn't empty; null if that one can't be read."""
-    return parse_naive(F.coalesce(*[F.nullif(F.try_element_at(tags, F.lit(t)), F.lit("")) for t in CAPTURE_TAGS]))
+    return parse_naive(capture_text(tags))
+
+
+def offset_facts(tags: Column, ordered_values: Column | None = None) -> Column:
+    """What check_offsets needs of a record: a struct (lat, lon, taken, wall, declared)."""
+    lat, lon = place_of(tags)
+    return F.struct(lat.alias("lat"), lon.alias("lon"), capture_text(tags).alias("taken"), capture_time(tags).alias("wall"), declared_offset(tags, ordered_values).alias("declared"))
 
 
 def declared_offset(tags: Column, ordered_values: Column | None = None) -> Column:

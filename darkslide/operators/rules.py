@@ -13,7 +13,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkslide.functions.nested import flatten_single, keywords, signed8, split_position, to_float, to_int, x_join
+from darkslide.functions.nested import change_path, drop_path, flatten_single, keywords, signed8, split_position, to_float, to_int, x_join
 
 KEYWORD_TAGS = ("XMP:Subject", "IPTC:Keywords", "Composite:Keywords")
 # Names of a group in the finer naming and in the coarser one, and two tags that keep theirs.
@@ -47,9 +47,30 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def _nested(path: str) -> list[str]:
+    """The steps of a path below its tag; none of a tag's own name, which may hold dots in the part before a colon only."""
+    return path.split(".")[1:]
+
+
 def delete_tags(tags: Column, names: Iterable[str]) -> Column:
-    """tags without those of these names. Nested paths are for pop_path."""
-    return F.filter(tags, lambda t: ~t["key"].isin(*names)) if (names := list(names)) else tags
+    """tags without those of these names. Paths such as A.B and A.[].B are taken out of the tag's value; a tag of which nothing is left goes, too."""
+    names = list(names)
+    whole, within = [n for n in names if not _nested(n)], [n for n in names if _nested(n)]
+    if whole:
+        tags = F.filter(tags, lambda t: ~t["key"].isin(*whole))
+    for path in within:
+        tags = F.filter(_within(tags, path, lambda v, below: drop_path(v, below, items=True)), _not_emptied(path.split(".")[0]))
+    return tags
+
+
+def _within(tags: Column, path: str, change: Callable[[Column, list[str]], Column]) -> Column:
+    """tags with change applied to the value of a path's tag and the steps below it."""
+    tag, *below = path.split(".")
+    return F.transform(tags, lambda t: F.struct(t["key"].alias("key"), F.when(t["key"] == tag, change(t["value"], below)).otherwise(t["value"]).alias("value")))
+
+
+def _not_emptied(tag: str) -> Callable[[Column], Column]:
+    return lambda t: (t["key"] != tag) | ~F.coalesce(F.to_json(t["value"]).isin("{}", "[]"), F.lit(False))
 
 
 def rename_groups(key: Column) -> Column:
@@ -61,9 +82,14 @@ def rename_groups(key: Column) -> Column:
 
 
 def _changed(tags: Column, names: Iterable[str], change: Callable[[Column], Column]) -> Column:
-    if not (names := list(names)):
-        return tags
-    return F.transform(tags, lambda t: F.struct(t["key"].alias("key"), F.when(t["key"].isin(*names), change(t["value"])).otherwise(t["value"]).alias("value")))
+    """tags with change applied to the values of these names, and to what is at these paths within values."""
+    names = list(names)
+    if whole := [n for n in names if not _nested(n)]:
+        tags = F.transform(tags, lambda t: F.struct(t["key"].alias("key"), F.when(t["key"].isin(*whole), change(t["value"])).otherwise(t["value"]).alias("value")))
+    for path in names:
+        if _nested(path):
+            tags = _within(tags, path, lambda v, below: change_path(v, below, change))
+    return tags
 
 
 def cast_tags(tags: Column, rules: Rules) -> Column:
@@ -108,7 +134,7 @@ def _cool_in(tags: Column, rules: Rules) -> Column:
 
 
 def _simple_out(tags: Column, rules: Rules) -> Column:
-    return delete_tags(tags, [p for p in rules.delete if "." not in p.partition(":")[2]])
+    return delete_tags(tags, rules.delete)
 
 
 def _cool_out(tags: Column, rules: Rules) -> Column:

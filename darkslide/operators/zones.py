@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.functions.temporal import format_offset_floor, wall_offset
+from darkslide.functions.temporal import format_offset_floor, wall_offset, has_exif_form
 from darkslide.operators.spatial import containing_regions, region_edges
 from darkslide.session import small_enough, written
 
@@ -138,14 +138,17 @@ def neighbours(points: DataFrame, id_column: str, metres: float) -> DataFrame:
     return points.select(F.col(id_column), F.inline(around))
 
 
-def check_offsets(records: DataFrame, id_column: str, zones: DataFrame, tolerance_m: float = 200) -> DataFrame:
-    """Rows (id, expected, declared, error_class, error) for records (id, lat, lon, wall, declared).
+def check_offsets(records: DataFrame, id_column: str, zones: DataFrame, tolerance_m: float = 200, strict: bool = False) -> DataFrame:
+    """Rows (id, expected, declared, error_class, error) for records (id, lat, lon, wall, declared) and, if they have it, taken: the text of the capture time.
 
     expected is ±HH:MM of the zone at the place and wall time. Where it isn't the declared one, the eight neighbours at
-    tolerance_m are tried, only then. error_class is null where all agrees, TzMismatchError where not or where no
-    offset is declared, NoGpsError and NoCaptureDateTimeError where data is missing. ids are unique.
+    tolerance_m are tried, only then. error_class is null where all agrees, else the first of: NoGpsError without a place; TzMismatchError without a declared
+    offset; NoCaptureDateTimeError without a capture time (taken is null or empty; without taken, wall is null); ValueError where taken has the form of a date and time
+    that the calendar or clock doesn't have; TzMismatchError where taken has no such form, where the place has no zone, and where offsets differ. With strict,
+    missing data is a TzMismatchError, too, with the same text. ids are unique.
     """
-    rows = written(records.select(F.col(id_column).alias("id"), "lat", "lon", "wall", "declared"), "offset-rows")
+    has_text = "taken" in records.columns
+    rows = written(records.select(F.col(id_column).alias("id"), "lat", "lon", "wall", "declared", *(["taken"] if has_text else [])), "offset-rows")
     known = rows.where("lat is not null and lon is not null and wall is not null and declared is not null")
     tz = zone_of_points(known, "id", zones)
     expected = written(known.join(tz, "id").withColumn("expected", format_offset_floor(wall_offset(F.col("tz"), F.col("wall")))), "expected")
@@ -154,19 +157,20 @@ def check_offsets(records: DataFrame, id_column: str, zones: DataFrame, toleranc
     nearby = zone_of_points(around, "at", zones).select(F.col("at.id").alias("id"), "tz").distinct()
     near = nearby.join(wrong.select("id", "wall", "declared"), "id").where(format_offset_floor(wall_offset(F.col("tz"), F.col("wall"))) == F.col("declared")).select("id").distinct().withColumn("near", F.lit(True))
     out = rows.join(expected.select("id", "expected"), "id", "left").join(near, "id", "left")
-    kind = (
-        F.when(F.col("lat").isNull() | F.col("lon").isNull(), "NoGpsError")
-        .when(F.col("declared").isNull(), "TzMismatchError")
-        .when(F.col("wall").isNull(), "NoCaptureDateTimeError")
-        .when(F.col("expected").isNull() | ((F.col("expected") != F.col("declared")) & F.col("near").isNull()), "TzMismatchError")
+    taken = F.coalesce("taken", F.lit("")) if has_text else F.lit("")
+    place = F.concat(F.lit("("), F.col("lat").cast("string"), F.lit(", "), F.col("lon").cast("string"), F.lit(")"))
+    error = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    mismatch, absent = "TzMismatchError", "TzMismatchError" if strict else None
+    found = (
+        F.when(F.col("lat").isNull() | F.col("lon").isNull(), error(absent or "NoGpsError", F.lit("No GPS coordinates in metadata (latitude/longitude missing)")))
+        .when(F.col("declared").isNull(), error(mismatch, F.lit("Missing timezone offset")))
+        .when(F.col("wall").isNull() & (taken == ""), error(absent or "NoCaptureDateTimeError", F.lit("Missing capture datetime (e.g., EXIF:DateTimeOriginal)")))
+        .when(F.col("wall").isNull() & has_exif_form(taken), error("ValueError", F.concat(F.lit("Impossible date or time: "), taken)))
+        .when(F.col("wall").isNull(), error(mismatch, F.concat(F.lit("Unrecognized datetime format: '"), taken, F.lit("'"))))
+        .when(F.col("expected").isNull(), error(mismatch, F.concat(F.lit("Cannot resolve timezone at coords "), place)))
+        .when((F.col("expected") != F.col("declared")) & F.col("near").isNull(), error(mismatch, F.concat(F.lit("Timezone offset mismatch: declared='"), "declared", F.lit("', expected='"), "expected", F.lit("' at "), place, F.lit(" for "), F.col("wall").cast("string"))))
     )
-    text = (
-        F.when(kind == "NoGpsError", "No GPS coordinates in metadata (latitude/longitude missing)")
-        .when(kind == "NoCaptureDateTimeError", "Missing capture datetime (e.g., EXIF:DateTimeOriginal)")
-        .when(F.col("declared").isNull(), "Missing timezone offset")
-        .when(kind.isNotNull(), F.concat(F.lit("Timezone offset mismatch: declared='"), "declared", F.lit("', expected='"), F.coalesce("expected", F.lit("")), F.lit("' at ("), F.col("lat").cast("string"), F.lit(", "), F.col("lon").cast("string"), F.lit(") for "), F.col("wall").cast("string")))
-    )
-    return out.select(F.col("id").alias(id_column), "expected", "declared", kind.alias("error_class"), text.alias("error"))
+    return out.select(F.col("id").alias(id_column), "expected", "declared", found["kind"].alias("error_class"), found["text"].alias("error"))
 
 
 def zone_table(mapping: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -189,11 +193,11 @@ def missing_ids(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return expected.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(key).distinct().join(present.select(key), key, "left_anti").orderBy(key)
 
 
-def needs_rebuild(files: DataFrame) -> DataFrame:
-    """One row (stale): files are (kind, mtime) with kind index, mapping or polygon; stale without an index, or with any file newer than it."""
+def needs_rebuild(files: DataFrame, *by: str) -> DataFrame:
+    """One row (stale), or one (by, stale) for each set of files: they are (kind, mtime) with kind index, mapping or polygon; stale without an index, or with any file newer than it."""
     index = F.max(F.when(F.col("kind") == "index", F.col("mtime")))
     newest = F.max(F.when(F.col("kind") != "index", F.col("mtime")))
-    return files.agg((index.isNull() | F.coalesce(newest > index, F.lit(False))).alias("stale"))
+    return files.groupBy(*by).agg((index.isNull() | F.coalesce(newest > index, F.lit(False))).alias("stale"))
 
 
 #: Of the layout of a stored zone table; one with another version is stale.

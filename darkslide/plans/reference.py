@@ -139,8 +139,7 @@ def offset_check(spark: SparkSession, folder: str) -> DataFrame:
     """Photo records' offsets against their places; 200 m tolerance."""
     photos = table(spark, folder, "photo_record").select("rec_id", "composite_gps_latitude", "composite_gps_longitude", "exififd_date_time_original", "exififd_offset_time_original").distinct()
     tags = F.create_map(*[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(["Composite:GPSLatitude", "composite_gps_latitude", "Composite:GPSLongitude", "composite_gps_longitude", "EXIF:DateTimeOriginal", "exififd_date_time_original", "EXIF:OffsetTimeOriginal", "exififd_offset_time_original"])])
-    lat, lon = checks.place_of(F.col("tags"))
-    rows = photos.select("rec_id", tags.alias("tags")).select("rec_id", F.inline(F.array(F.struct(lat.alias("lat"), lon.alias("lon"), checks.capture_time(F.col("tags")).alias("wall"), checks.declared_offset(F.col("tags")).alias("declared")))))
+    rows = photos.select("rec_id", tags.alias("tags")).select("rec_id", F.inline(F.array(checks.offset_facts(F.col("tags")))))
     return zones.check_offsets(rows, "rec_id", table(spark, folder, "tz_zone")).select("rec_id", "expected", "declared", "error_class")
 
 
@@ -169,15 +168,22 @@ def path_get(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def path_set(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select("event_id", F.get_json_object(N.set_path(F.col("props"), "a.b", 7), "$.a.b").alias("b"))
+    """Each event's value and user put at paths: a new one, and one within an object that is there for every other event."""
+    text = F.when(F.col("event_id") % 2 == 0, '{"a":{"c":1}}').otherwise(F.col("props"))
+    return table(spark, folder, "events").select("event_id", N.set_path(text, "a.b", F.col("user_id")).alias("made"), N.set_path(text, "k", F.col("event_type")).alias("replaced"))
 
 
 def path_pop(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select("event_id", N.pop_path(F.col("props"), "k").alias("rest"))
+    """Paths taken out of objects made of each event: one that empties its object for every third, and one in every item of a list, some left empty."""
+    event = F.concat(F.lit('{"m":{"x":'), "user_id", F.when(F.col("event_id") % 3 == 0, "").otherwise(',"y":2'), F.lit('},"l":[{"id":'), "event_id", F.lit('},{"id":1,"t":"'), "event_type", F.lit('"}]}'))
+    taken = F.to_json(N.dropped(F.parse_json(event), "l.[].id", items=True))
+    return table(spark, folder, "events").select("event_id", N.pop_path(event, "m.x").alias("pruned"), N.pop_path(event, "l.[].id", items=True).alias("fanned"), taken.alias("taken"))
 
 
 def listify(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "nation").select("n_nationkey", F.array_join(N.listify(F.col("n_name"), False), ",").alias("names"))
+    """Numbers, lists and nulls as lists."""
+    value = F.parse_json(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey").cast("string")).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("["), "n_nationkey", F.lit(","), "n_regionkey", F.lit("]"))).otherwise("null"))
+    return table(spark, folder, "nation").select("n_nationkey", F.to_json(N.listed(value)).alias("items"))
 
 
 def map_values_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -241,8 +247,9 @@ def pipeline_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def missing_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers without an order."""
-    return zones.missing_ids(table(spark, folder, "customer").select(F.col("c_custkey").alias("id")), table(spark, folder, "orders").select(F.col("o_custkey").alias("id")), "id")
+    """Customers without an urgent order."""
+    urgent = table(spark, folder, "orders").where(F.col("o_orderpriority").startswith("1"))
+    return zones.missing_ids(table(spark, folder, "customer").select(F.col("c_custkey").alias("id")), urgent.select(F.col("o_custkey").alias("id")), "id")
 
 
 def distinct_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,9 +258,11 @@ def distinct_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def needs_rebuild(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether any dump came after the last photo record, by station."""
-    files = table(spark, folder, "dump_file").select(F.when(F.col("dump_id") == 1, "index").otherwise("polygon").alias("kind"), F.col("received_at").alias("mtime"))
-    return zones.needs_rebuild(files)
+    """For each station, whether an index made with its shortest dump is stale; every fifth station has no index."""
+    dumps = table(spark, folder, "dump_file")
+    index = dumps.groupBy("station_id").agg(F.min_by("received_at", F.struct("line_count", "dump_id")).alias("mtime"))
+    files = index.select("station_id", F.lit("index").alias("kind"), "mtime").where(F.col("station_id") % 5 != 0).unionByName(dumps.select("station_id", F.lit("polygon").alias("kind"), F.col("received_at").alias("mtime")))
+    return zones.needs_rebuild(files, "station_id")
 
 
 def id_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,9 +275,10 @@ def id_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 def merge_maps(spark: SparkSession, folder: str) -> DataFrame:
     left = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
-    right = F.create_map(F.lit("priority"), F.lit("none"))
+    right = F.when(F.col("o_custkey") % 2 == 0, F.create_map(F.lit("priority"), F.concat(F.lit("of "), F.col("o_custkey").cast("string")))).otherwise(F.create_map(F.lit("customer"), F.col("o_custkey").cast("string")))
     merged = rules.merge_right(left, right)
-    return table(spark, folder, "orders").select("o_orderkey", merged["status"].alias("status"), merged["priority"].alias("priority"))
+    value = lambda k: F.try_element_at(merged, F.lit(k)).alias(k)
+    return table(spark, folder, "orders").select("o_orderkey", value("status"), value("priority"), value("customer"), F.size(merged).cast("bigint").alias("entries"))
 
 
 def positional_zip(spark: SparkSession, folder: str) -> DataFrame:

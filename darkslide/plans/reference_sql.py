@@ -92,10 +92,24 @@ ORACLES = {
     "lon_deltas": f"WITH {_POINTS} SELECT event_id, round(least(abs(lon + lat * 2), 360 - abs(lon + lat * 2)), 6) AS delta FROM points",
     "neighbour_points": f"""WITH {_POINTS}, sides AS (SELECT unnest([{{'k': 0, 'a': 1, 'b': 0}}, {{'k': 1, 'a': -1, 'b': 0}}, {{'k': 2, 'a': 0, 'b': 1}}, {{'k': 3, 'a': 0, 'b': -1}}, {{'k': 4, 'a': 1, 'b': 1}}, {{'k': 5, 'a': 1, 'b': -1}}, {{'k': 6, 'a': -1, 'b': 1}}, {{'k': 7, 'a': -1, 'b': -1}}], recursive := true))
         SELECT event_id, CAST(k AS BIGINT) AS k, round(lat + a * (200.0 / 111320.0::DOUBLE), 6) AS lat, round(lon + b * (200.0 / greatest(1e-6, 111320.0::DOUBLE * cos(radians(lat)))), 6) AS lon FROM points CROSS JOIN sides""",
+    "offset_check": f"""WITH photo AS (SELECT DISTINCT rec_id, composite_gps_latitude AS a, composite_gps_longitude AS b, exififd_date_time_original AS t, exififd_offset_time_original AS o FROM photo_record),
+ numbers AS (SELECT rec_id, {_NUMBER.format('a')} AS la, {_NUMBER.format('b')} AS lo, nullif(t, '') AS taken, TRY_CAST({_parse('t')} AS TIMESTAMP) AS wall, coalesce({_normal('o')}, {_normal('a')}, {_normal('b')}, {_normal('t')}) AS declared FROM photo),
+ facts AS (SELECT rec_id, CASE WHEN lo IS NOT NULL THEN la END AS lat, CASE WHEN la IS NOT NULL THEN lo END AS lon, taken, wall, declared FROM numbers),
+ sides AS (SELECT unnest([{{'k': 0, 'a': 0, 'b': 0}}, {{'k': 1, 'a': -1, 'b': 0}}, {{'k': 2, 'a': 0, 'b': 1}}, {{'k': 3, 'a': 0, 'b': -1}}, {{'k': 4, 'a': 1, 'b': 1}}, {{'k': 5, 'a': 1, 'b': -1}}, {{'k': 6, 'a': -1, 'b': 1}}, {{'k': 7, 'a': -1, 'b': -1}}, {{'k': 8, 'a': 1, 'b': 0}}], recursive := true)),
+ points AS (SELECT rec_id * 10 + k AS event_id, wall AS ts, lat + a * (200.0 / 111320.0::DOUBLE) AS lat, lon + b * (200.0 / greatest(1e-6, 111320.0::DOUBLE * cos(radians(lat)))) AS lon FROM facts CROSS JOIN sides WHERE lat IS NOT NULL AND wall IS NOT NULL AND declared IS NOT NULL),
+ {_EDGES}, {_INSIDE}, {_NEAREST}, found AS (SELECT event_id, tz_name AS tz FROM (SELECT * FROM inside UNION ALL SELECT * FROM nearest) JOIN tz_zone USING (pos)),
+ minutes AS (SELECT event_id // 10 AS rec_id, event_id % 10 AS k, CAST(floor({_offset('tz', 'ts')} / 60) AS BIGINT) AS m FROM found JOIN points USING (event_id)),
+ offsets AS (SELECT rec_id, k, {_hhmm('m', 'm < 0')} AS o FROM minutes)
+ SELECT f.rec_id, e.o AS expected, declared, CASE WHEN lat IS NULL THEN 'NoGpsError' WHEN declared IS NULL THEN 'TzMismatchError' WHEN wall IS NULL AND taken IS NULL THEN 'NoCaptureDateTimeError'
+ WHEN wall IS NULL AND regexp_matches(taken, '^[0-9]{{4}}(:[0-9]{{2}}){{2}} [0-9]{{2}}(:[0-9]{{2}}){{2}}$') THEN 'ValueError' WHEN wall IS NULL OR e.o IS NULL THEN 'TzMismatchError'
+ WHEN e.o <> declared AND NOT EXISTS (SELECT 1 FROM offsets n WHERE n.rec_id = f.rec_id AND n.k > 0 AND n.o = f.declared) THEN 'TzMismatchError' END AS error_class
+ FROM facts f LEFT JOIN offsets e ON e.rec_id = f.rec_id AND e.k = 0""",
     "path_get": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS missing FROM events",
-    "path_set": "SELECT event_id, '7' AS b FROM events",
-    "path_pop": "SELECT event_id, '{}' AS rest FROM events",
-    "listify": "SELECT n_nationkey, array_to_string([n_name], ',') AS names FROM nation",
+    "path_set": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"a":{"b":' || user_id || ',"c":1}}' ELSE '{"a":{"b":' || user_id || '},"k":' || (props ->> '$.k') || '}' END AS made,
+ CASE WHEN event_id % 2 = 0 THEN '{"a":{"c":1},"k":"' || event_type || '"}' ELSE '{"k":"' || event_type || '"}' END AS replaced FROM events""",
+    "path_pop": """SELECT event_id, '{"l":[{"id":' || event_id || '},{"id":1,"t":"' || event_type || '"}]' || CASE WHEN event_id % 3 = 0 THEN '}' ELSE ',"m":{"y":2}}' END AS pruned,
+ '{"l":[{"t":"' || event_type || '"}],"m":{"x":' || user_id || CASE WHEN event_id % 3 = 0 THEN '}}' ELSE ',"y":2}}' END AS fanned, '[' || event_id || ',1]' AS taken FROM events""",
+    "listify": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '[' || n_nationkey || ']' WHEN 1 THEN '[' || n_nationkey || ',' || n_regionkey || ']' ELSE '[null]' END AS items FROM nation",
     "map_values_keys": """SELECT event_id, '{"K": ' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS VARCHAR) || '}' AS props FROM events""",
     "keyword_split": r"SELECT rec_id, array_to_string(list_filter(list_transform(regexp_split_to_array(iptc_keywords, '[\s\p{Z}]*[,;][\s\p{Z}]*'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> ''), '|') AS keywords FROM (SELECT DISTINCT rec_id, iptc_keywords FROM photo_record WHERE iptc_keywords IS NOT NULL)",
     "position_split": f"""WITH t AS (SELECT rec_id, regexp_split_to_array(concat_ws('; ', composite_gps_latitude, composite_gps_longitude), '\\s*[,;]\\s*') AS p FROM {_PHOTO}),
@@ -110,11 +124,13 @@ ORACLES = {
     "equality_groups": f"SELECT rec_id, CAST(1 AS BIGINT) AS unequal FROM {_PHOTO} WHERE iptc_keywords <> xmp_subject",
     "pipeline_all": f"""WITH {_LONG} SELECT tag, CASE WHEN tag IN ('IPTC:Keywords', 'XMP:Subject') THEN 'list' WHEN tag IN ('ExifIFD:ExposureCompensation', 'Composite:GPSLatitude') AND regexp_matches(trim(v), '{_FLOAT}') THEN 'number' WHEN tag IN ('XMP-xmp:Rating', 'File:ImageWidth') THEN 'number' ELSE 'text' END AS kind, count(*) AS records
         FROM long WHERE v IS NOT NULL AND tag NOT IN ('SourceFile', 'System:FileModifyDate') GROUP BY ALL""",
-    "missing_ids": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY 1",
+    "missing_ids": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') ORDER BY 1",
     "distinct_ids": "SELECT DISTINCT geo_id FROM tz_zone WHERE geo_id <> '' ORDER BY 1",
-    "needs_rebuild": "SELECT max(received_at) FILTER (dump_id = 1) IS NULL OR coalesce(max(received_at) FILTER (dump_id <> 1) > max(received_at) FILTER (dump_id = 1), false) AS stale FROM dump_file",
+    "needs_rebuild": """SELECT d.station_id, bool_or(d.station_id % 5 = 0 OR d.received_at > i.mtime) AS stale FROM dump_file d
+ JOIN (SELECT station_id, arg_min(received_at, (line_count, dump_id)) AS mtime FROM dump_file GROUP BY station_id) i USING (station_id) GROUP BY d.station_id""",
     "id_lookup": "SELECT geo_id, tz_name, min_lon, max_lat FROM (SELECT geo_id, tz_name, list_min(list_transform(flatten(rings), lambda p: p.lon)) AS min_lon, list_max(list_transform(flatten(rings), lambda p: p.lat)) AS max_lat FROM tz_zone)",
-    "merge_maps": "SELECT o_orderkey, o_orderstatus AS status, 'none' AS priority FROM orders",
+    "merge_maps": """SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_custkey % 2 = 0 THEN 'of ' || o_custkey ELSE o_orderpriority END AS priority, CASE WHEN o_custkey % 2 = 1 THEN CAST(o_custkey AS VARCHAR) END AS customer,
+ CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS entries FROM orders""",
     "positional_zip": f"WITH {_RINGS} SELECT CAST(pos AS BIGINT) AS pos, CAST(ring_no AS BIGINT) AS ring_no, CAST(k AS BIGINT) AS k, p.lon AS lon, p.lat AS lat FROM (SELECT pos, ring_no, unnest(ring) AS p, generate_subscripts(ring, 1) - 1 AS k FROM rings1)",
     "severity_messages": "SELECT l_orderkey, l_linestatus, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), '; ' ORDER BY l_linenumber, l_partkey) AS messages FROM lineitem GROUP BY ALL",
 }

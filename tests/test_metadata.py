@@ -54,20 +54,37 @@ def test_datetimes(spark):
     assert [one(spark, f(F.col("w")), w=w) for f in (T.stringify_datetime, lambda c: T.stringify_datetime(c, True), T.stringify_time)] == ["2025-10-27 15:22:36.615", "2025:10:27 15:22:36.615", "15:22:36.615000"]
 
 
+def test_paths_of_variants(spark):
+    put = lambda text, path, value: one(spark, N.set_path(F.col("t"), path, value), t=text)
+    assert put("{}", "a.b", 1) == '{"a":{"b":1}}' and put('{"a":{"c":2},"k":"é"}', "a.b", [1, None]) == '{"a":{"b":[1,null],"c":2},"k":"é"}'
+    assert put('{"a":5}', "a.b", 1) is None and put("broken", "a", 1) is None and put(None, "a", 1) is None
+    with pytest.raises(ValueError):
+        N.set_path(F.col("t"), [], 1)
+    text = '{"r":{"l":[{"x":1},{"x":2,"y":3}]},"k":1}'
+    pop = lambda text, path, items=True: one(spark, N.pop_path(F.col("t"), path, items), t=text)
+    assert pop(text, "r.l.[].x") == '{"k":1,"r":{"l":[{"y":3}]}}' and pop('{"k":1,"r":{"l":[{"y":3}]}}', "r.l.[].y") == '{"k":1}'
+    assert pop('{"k":1}', "none.x") == '{"k":1}' and pop('{"k":1}', "k.x") == '{"k":1}' and pop('{"k":1}', "k") == "{}" and pop('{"[]":{"a":1,"b":2}}', "[].a", False) == '{"[]":{"b":2}}'
+    taken = lambda text, path: one(spark, F.to_json(N.dropped(F.try_parse_json("t"), path, True)), t=text)
+    assert taken(text, "r.l.[].x") == "[1,2]" and taken(text, "none.x") is None and taken(text, "k") == "1"
+    spared = N.drop_path(F.try_parse_json("t"), "l.[].x", True, [{"x": 1}])
+    assert one(spark, F.to_json(spared), t='{"l":[{"x":1},{"x":2,"y":3}]}') == '{"l":[{"x":1},{"y":3}]}'
+    listed = lambda text: one(spark, F.to_json(N.listed(F.parse_json("t"))), t=text)
+    assert [listed(x) for x in ("[1]", '"ab"', "null", '{"a":1}')] == ["[1]", '["ab"]', "[null]", '[{"a":1}]']
+
+
+def test_nested_rules(spark):
+    rule = rules.Rules(delete=("R.Box", "R.List.[].Area", "Gone.x"), floats=("L.[].c", "field2"), ints=("L.[].a", "field1"), convert={"x_separated": ("S.size",), "flatten_if_not_multiple": ("single",)})
+    record = {"R": {"Box": {"H": 1}, "List": [{"Area": 1, "Name": "n"}, {"Area": 2}]}, "Gone": {"x": 1}, "L": [{"a": "1", "b": "b"}, {"c": "3.14"}], "S": {"size": "1920 1080"}, "field1": "42", "field2": "3.14", "single": ["only_one"]}
+    row = spark.createDataFrame([(json.dumps(v), k, i) for i, (k, v) in enumerate(record.items())], "v string, k string, i int")
+    tags = row.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "k", "v"))), lambda x: F.struct(x["k"].alias("key"), F.parse_json(x["v"]).alias("value"))).alias("tags"))
+    done = rules.transform_records(tags, rule, ["simple_out", "cool_out"]).select(F.transform("tags", lambda t: F.struct(t["key"], F.to_json(t["value"]).alias("v"))).alias("t")).first().t
+    assert {t.key: json.loads(t.v) for t in done} == {"R": {"List": [{"Name": "n"}]}, "L": [{"a": 1, "b": "b"}, {"c": 3.14}], "S": {"size": "1920x1080"}, "field1": 42, "field2": 3.14, "single": "only_one"}
+
+
 def test_nested():
     assert N.get({"a": {"b": 1}}, ["a", "b"]) == 1 and N.get({"a": 1}, ["a", "b"], None) is None and N.get(5, []) == 5
     with pytest.raises(KeyError):
         N.get({}, ["a"])
-    data = {}
-    N.put(data, ["a", "b"], 1)
-    assert data == {"a": {"b": 1}}
-    with pytest.raises(ValueError):
-        N.put({}, [], 1)
-    data = {"r": {"l": [{"x": 1}, {"x": 2, "y": 3}]}, "k": 1}
-    assert N.pop(data, ["r", "l", "[]", "x"], items=True) == [1, 2] and data == {"r": {"l": [{"y": 3}]}, "k": 1}
-    assert N.pop(data, ["r", "l", "[]", "y"], items=True) == [3] and data == {"k": 1}
-    assert N.pop(data, ["none", "x"]) is None and N.pop(data, ["k", "x"]) is None
-    assert [N.listed(x) for x in ([1], (1, 2), "ab", None, {"a": 1})] == [[1], [1, 2], ["ab"], [None], ["a"]]
     assert N.mapped({1: 2, 3: [4]}, str, keys=True) == {"1": "2", "3": ["4"]} and N.mapped([1, (2, {3})], lambda x: x * 10) == [10, (20, {30})]
     with pytest.raises(ValueError):
         N.mapped({}, str, values=False)
@@ -144,6 +161,22 @@ def test_zones_and_offset_check(spark, monkeypatch):
     assert {r.id: r.error_class for r in checked.collect()} == {1: None, 2: "TzMismatchError", 3: None, 4: "NoGpsError", 5: "NoCaptureDateTimeError", 6: "TzMismatchError"}
 
 
+def test_offset_check_classes(spark):
+    tags = [{"Composite:GPSLatitude": "43.0", "Composite:GPSLongitude": "3.0", "EXIF:OffsetTimeOriginal": "+01:00", "EXIF:DateTimeOriginal": text} for text in ("2024:01:15 12:00:00", "", "15/01/2024 noon", "2024:02:30 12:00:00", "2024-01-15T12:00:00Z")]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*tags, {"EXIF:OffsetTimeOriginal": "+01:00"}, {**tags[0], "EXIF:OffsetTimeOriginal": "here"}])], "id int, t map<string,string>").select("id", F.inline(F.array(checks.offset_facts(F.col("t")))))
+    found = {r.id: (r.error_class, r.error) for r in zones.check_offsets(rows, "id", zone_frame(spark)).collect()}
+    assert {k: v[0] for k, v in found.items()} == {0: None, 1: "NoCaptureDateTimeError", 2: "TzMismatchError", 3: "ValueError", 4: None, 5: "NoGpsError", 6: "TzMismatchError"}
+    assert found[2][1] == "Unrecognized datetime format: '15/01/2024 noon'" and found[6][1] == "Missing timezone offset"
+    strict = {r.id: (r.error_class, r.error) for r in zones.check_offsets(rows, "id", zone_frame(spark), strict=True).collect()}
+    assert strict == {**found, 1: ("TzMismatchError", found[1][1]), 5: ("TzMismatchError", found[5][1])}
+
+
+def test_date_of_whole_stamp_without_time_tag(spark):
+    tags = {A: "2024:01:15 12:00:00", O: "+01:00", "IPTC:DateCreated": "2024:01:15 12:00:00"}
+    found = checks.datetime_findings(spark.createDataFrame([("a", tags)], "source_file string, tags map<string,string>")).first().findings
+    assert [tuple(f) for f in found] == [("error", "IPTC:DateCreated", "KeyError: 'IPTC:TimeCreated'")]
+
+
 def test_extraction(spark):
     df = spark.createDataFrame([({"EXIF:GPSLatitude": "1", "EXIF:GPSLongitude": "2", "Composite:GPSLatitude": "x", "Composite:GPSLongitude": "2", "EXIF:TimeZoneOffset": "[-7,-7]", "EXIF:DateTimeOriginal": "", "EXIF:CreateDate": "2024:01:01 00:00:00"},), ({"Foo": "+1"},)], "t map<string,string>")
     lat, lon = checks.place_of(F.col("t"))
