@@ -8,14 +8,15 @@ import numpy as np
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
-#: Distinct item frequencies above this number are put into bins of 1 %, which bounds the fit.
-EXACT_DEGREES = 3_000
+#: Width of the bins of item frequencies, as logarithm, over which record sizes are fitted; each item's own value is solved for afterwards.
+WIDTH = math.log(1.002)
 
 
 class ConfigurationNull:
     """Item j is in a record of size k with probability x_k y_j / (1 + x_k y_j), such that all sizes and frequencies are met on average.
 
-    Records of one size share x, items of one frequency share y, so the fit is over distinct sizes and frequencies only.
+    Records of one size share x, items of one frequency share y, so the fit is over distinct sizes and bins of frequencies only, of which there are few at any
+    number of records; frequencies below 500 have a bin each. y is solved for at the exact frequency.
     """
 
     def __init__(self, sizes: dict[int, int], degrees: dict[int, int], rounds: int = 300) -> None:
@@ -23,9 +24,7 @@ class ConfigurationNull:
         sizes_at = np.array(sorted(sizes), float)
         values = np.array(sorted(degrees), float)
         weights = np.array([m for _, m in sorted(degrees.items())], float)
-        self._width = math.log(1.01) if len(values) > EXACT_DEGREES else 0.0
-        keys = np.floor(np.log(values) / self._width) if self._width else values
-        self._keys, code = np.unique(keys, return_inverse=True)
+        _, code = np.unique(np.where(values < 500, values, 500 + np.floor(np.log(values / 500) / WIDTH)), return_inverse=True)
         mass = np.bincount(code, weights)
         at = np.bincount(code, weights * values) / np.maximum(mass, 1e-300)
         total = max(float((sizes_at * self.size_counts).sum()), 1.0)
@@ -37,12 +36,22 @@ class ConfigurationNull:
             x, y = np.minimum(x, 1e12), np.minimum(y, 1e12)
             if np.allclose(x, old, rtol=1e-9, atol=0):
                 break
-        self._p = x[:, None] * y / (1 + x[:, None] * y)
+        self._x = x
 
     def probability(self, degree: np.ndarray) -> np.ndarray:
-        """By size (rows) and item (columns)."""
-        keys = np.floor(np.log(degree) / self._width) if self._width else np.asarray(degree, float)
-        return self._p[:, np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)]
+        """By size (rows) and item (columns): y such that the item's frequency is met, by Newton's method on its logarithm."""
+        degree, which = np.unique(np.asarray(degree, float), return_inverse=True)
+        m, x = self.size_counts[:, None], np.log(np.maximum(self._x, 1e-300))[:, None]
+        # An item in all records has no finite y.
+        aim = np.minimum(degree, m.sum() * (1 - 1e-9))
+        u = np.log(aim / np.maximum((m * np.exp(x)).sum(), 1e-300))
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x + u, -700, 700)))
+            step = np.clip((aim - (m * p).sum(0)) / np.maximum((m * p * (1 - p)).sum(0), 1e-300), -1, 1)
+            u = u + step
+            if np.abs(step).max(initial=0) < 1e-12:
+                break
+        return (1 / (1 + np.exp(-np.clip(x + u, -700, 700))))[:, which.ravel()]
 
     def tails(self, degree_a: np.ndarray, degree_b: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected common records, and the natural logarithm of the probability of together or more."""

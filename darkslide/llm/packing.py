@@ -45,12 +45,14 @@ def fill_containers(df: DataFrame, id_column: str, size_column: str, capacity: i
         name = F.concat_ws("-", F.lit(str(level)), F.col("block").cast("string"), F.col("bin").cast("string")).alias("container")
         loads = packed.groupBy("block", "bin").agg(F.sum("size").alias("load"))
         again = packed.join(loads, ["block", "bin"])
-        if blocks == 1 or left is not None and number > 0.7 * left:
+        good = F.col("load") >= GOOD * capacity
+        bins, bad = loads.agg(F.count("*"), F.count(F.when(~good, 1))).first()
+        # Levels go on for as long as they save containers.
+        if blocks == 1 or left is not None and bins >= left:
             done.append(packed.select("item", name))
             break
-        good = F.col("load") >= GOOD * capacity
         done.append(again.where(good).select("item", name))
-        rest, left, level = again.where(~good).select("item", "size"), number, level + 1
+        rest, left, level = again.where(~good).select("item", "size"), bad, level + 1
     found = done[0]
     for part in done[1:]:
         found = found.unionByName(part)

@@ -20,8 +20,10 @@ MIN_TOGETHER = 10
 MIN_RATIO = 3
 #: Pairs that are put together before they are counted and handed on; bounds a task's memory, not the result.
 CHUNK = 1_000_000
-#: Width, in powers of ten, of the bins in which p-values are ranked; at most 40 / BIN of them reach the driver.
-BIN = 0.001
+#: Width of the bins in which p-values are ranked, of log(1 - log10 p): 0.00002 powers of ten at p = 1, 0.0002 at 1e-10, 0.002 at 1e-100. Their number grows with the logarithm of the deepest one only.
+BIN = 0.00002
+#: Pairs above which a basket is made into several tasks' work.
+SPLIT = 8 * CHUNK
 
 
 def baskets_of(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
@@ -43,9 +45,15 @@ def baskets_of(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFra
     return df.select(id_column, *columns).where(F.coalesce(*columns).isNotNull()).distinct().mapInArrow(collect, "terms array<string>")
 
 
-def _pairs_in_chunks(codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within each basket, by baskets of one size together; a basket of any size goes through in chunks."""
+def _pairs_in_chunks(codes: np.ndarray, starts: np.ndarray, slices: np.ndarray | None = None, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within each basket, by baskets of one size together; a basket of any size goes through in chunks. Of one in several slices only the pairs of every slices-th item, from own on."""
     sizes = np.diff(starts)
+    slices, own = (np.ones_like(sizes), np.zeros_like(sizes)) if slices is None else (slices, own)
+    for base, k, n, first in zip(starts[:-1][slices > 1], sizes[slices > 1], slices[slices > 1], own[slices > 1]):
+        for i in range(int(first), int(k) - 1, int(n)):
+            rest = codes[base + i + 1 : base + k]
+            yield np.full(len(rest), codes[base + i]), rest
+    sizes = np.where(slices > 1, 0, sizes)
     for k in np.unique(sizes[sizes > 1]):
         of_size = starts[:-1][sizes == k]
         if k * (k - 1) // 2 <= CHUNK:
@@ -76,7 +84,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
         starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        for pair in _pairs_in_chunks(lists.flatten().to_numpy(), starts):
+        slices, own = (batch.column(c).to_numpy() for c in ("slices", "slice"))
+        for pair in _pairs_in_chunks(lists.flatten().to_numpy(), starts, slices, own):
             held.append(pair)
             number += len(pair[0])
             if number >= 2 * CHUNK:
@@ -140,7 +149,17 @@ def _judged(df: DataFrame, id_column: str, columns: Sequence[str], min_together:
     else:
         rows = baskets.withColumn("basket", F.monotonically_increasing_id()).select("basket", F.explode("terms").alias("term"))
         coded = lookup_join(rows, able, "term", "n").groupBy("basket").agg(F.collect_list("id").alias("ids")).select("ids")
-    pairs = coded.where(F.size("ids") > 1).mapInArrow(_count_pairs, "a bigint, b bigint, together bigint").groupBy("a", "b").agg(F.sum("together").alias("together")).where(F.col("together") >= min_together)
+    coded = coded.where(F.size("ids") > 1)
+    n = F.size("ids").cast("bigint")
+    slices = (n * (n - 1) / 2 / SPLIT).cast("int") + 1
+    if max(sizes, default=0) ** 2 / 2 > SPLIT:
+        # Slices of a large basket go to tasks of their own.
+        coded = written(coded.withColumn("slices", slices), "coded")
+        large = coded.where("slices > 1").select("ids", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        coded = coded.where("slices = 1").select("ids", "slices", F.lit(0).alias("slice")).unionByName(large.repartition(F.xxhash64("ids"), F.col("slice")))
+    else:
+        coded = coded.select("ids", F.lit(1).alias("slices"), F.lit(0).alias("slice"))
+    pairs = coded.mapInArrow(_count_pairs, "a bigint, b bigint, together bigint").groupBy("a", "b").agg(F.sum("together").alias("together")).where(F.col("together") >= min_together)
     side = F.broadcast(able) if small_enough(number) else able
     for x in "ab":
         pairs = pairs.join(side.select(F.col("id").alias(x), F.col("term").alias(f"term_{x}"), F.col("n").alias(f"n_{x}")), x)
@@ -149,7 +168,7 @@ def _judged(df: DataFrame, id_column: str, columns: Sequence[str], min_together:
     pairs = pairs.select(*[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("term_a", "term_b"), ("term_b", "term_a"))], "together", *[F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("n_a", "n_b"), ("n_b", "n_a"))])
     if not whole:
         return pairs.select("*", *[F.lit(None).cast("double").alias(c) for c in ("expected", "log10_p")]), number, whole
-    null = ConfigurationNull(sizes, degrees)
+    null = spark.sparkContext.broadcast(ConfigurationNull(sizes, degrees))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +176,7 @@ def _judged(df: DataFrame, id_column: str, columns: Sequence[str], min_together:
             if len(t):
                 # Rare pairs mostly share their three numbers, each of which is judged once.
                 (low, high, each), at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), t]), axis=1, return_inverse=True)
-                expected, log_p = (x[at.ravel()] for x in null.tails(low, high, each))
+                expected, log_p = (x[at.ravel()] for x in null.value.tails(low, high, each))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(log_p / math.log(10))], names=[*batch.schema.names, "expected", "log10_p"])
 
     judged = written(pairs.mapInArrow(judge, "term_a string, term_b string, together bigint, n_a bigint, n_b bigint, expected double, log10_p double"), "pairs")
@@ -165,15 +184,15 @@ def _judged(df: DataFrame, id_column: str, columns: Sequence[str], min_together:
 
 
 def _with_q(judged: DataFrame, tests: int) -> DataFrame:
-    """Benjamini-Hochberg: the least of p x tests / rank over the pairs at least as unlikely, ranks by bins of log p, all of a bin counting as its largest."""
+    """Benjamini-Hochberg: the least of p x tests / rank over the pairs at least as unlikely, ranks by bins of log p, all of a bin counting as its largest. Below 1e-300 it is 0 where floating point has no such number."""
     spark = judged.sparkSession
-    bin_of = F.ceil(F.greatest("log10_p", F.lit(-40.0)) / BIN).cast("int")
-    counts = sorted((r[0], r[1]) for r in judged.groupBy(bin_of.alias("bin")).count().collect())
+    bin_of = F.floor(F.log(1 - F.least("log10_p", F.lit(0.0))) / BIN).cast("int")
+    counts = sorted(((r[0], r[1]) for r in judged.groupBy(bin_of.alias("bin")).count().collect()), reverse=True)
     rank, values = 0, []
     for b, n in counts:
         rank += n
-        values.append(min(1.0, 10 ** (b * BIN) * tests / rank))
+        values.append(min(0.0, 1 - math.exp(b * BIN) + math.log10(tests / rank)))
     for i in range(len(values) - 2, -1, -1):
         values[i] = min(values[i], values[i + 1])
-    levels = spark.createDataFrame([(b, v) for (b, _), v in zip(counts, values)], "bin int, q_value double")
+    levels = spark.createDataFrame([(b, 10.0**v) for (b, _), v in zip(counts, values)], "bin int, q_value double")
     return judged.withColumn("bin", bin_of).join(F.broadcast(levels), "bin", "left").drop("bin")

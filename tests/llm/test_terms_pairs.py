@@ -98,7 +98,7 @@ def test_every_pair_and_q_over_all(spark):
     least, q = 1.0, {}
     for rank in range(len(ranked), 0, -1):
         r = ranked[rank - 1]
-        least = min(least, 10 ** max(r.log10_p, -40) * tests / rank)
+        least = min(least, 10**r.log10_p * tests / rank)
         q[r.term_a, r.term_b] = least
     assert all(q[k] * 0.999 <= r.q_value <= q[k] * 1.01 for k, r in found.items())
     limited = {(r.term_a, r.term_b): r for r in surprising_pairs(df, "id", ["k", "s"]).collect()}
@@ -117,6 +117,21 @@ def test_large_basket_in_chunks(monkeypatch):
     assert found == {*itertools.combinations(range(50), 2), *itertools.combinations(range(50, 53), 2)}
 
 
+def test_huge_basket_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(pairs_module, "SPLIT", 50)
+    rows = [(1, ",".join(f"w{i}" for i in range(40)), None), (2, "w1,w2", "w3")]
+    found = {(r.term_a, r.term_b): r.together for r in surprising_pairs(spark.createDataFrame(rows, "id bigint, k string, s string"), "id", ["k", "s"], 1, 0).collect()}
+    assert len(found) == 780 and found["w1", "w2"] == found["w2", "w3"] == 2 and found["w1", "w4"] == 1
+
+
+def test_null_at_any_frequency():
+    sizes = {3: 40_000, 9: 5_000}
+    degrees = {d: 1 for d in range(1, 6_000)}
+    null = ConfigurationNull(sizes, degrees)
+    at = np.array([1, 499, 501, 777, 5_999], float)
+    assert np.allclose((null.size_counts[:, None] * null.probability(at)).sum(0), at, rtol=1e-6)
+
+
 def test_null_meets_sizes_and_frequencies():
     sizes, degrees = {2: 300, 4: 200, 7: 50}, {5: 30, 20: 40, 40: 20}
     null = ConfigurationNull(sizes, degrees)
