@@ -97,7 +97,8 @@ def _script(old: dict[str, set[str]], new: dict[str, set[str]], agreement: Mappi
         edits.append(Edit("renamed" if parent(p) == parent(q) else "moved", p, q, float(cost[i, j])))
         under = lambda tree, top: {x[len(top) + 1 :]: kinds for x, kinds in tree.items() if x.startswith(top + STEP)}
         within: list[Edit] = []
-        _script(under(old, p), under(new, q), {}, within)
+        a, b = p + STEP, q + STEP
+        _script(under(old, p), under(new, q), {(x[len(a) :], y[len(b) :]): share for (x, y), share in agreement.items() if x.startswith(a) and y.startswith(b)}, within)
         edits.extend(Edit(e.kind, p + STEP + e.path, q + STEP + e.new_path if e.new_path else "", e.cost) for e in within)
     edits.extend(Edit("removed", p, "", DELETE * size(old, p)) for i, p in enumerate(lost) if i not in {m[0] for m in matched})
     edits.extend(Edit("added", q, "", ADD * size(new, q)) for j, q in enumerate(come) if j not in {m[1] for m in matched})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -14,8 +14,8 @@ from darkslide.functions.schematree import STEP, edit_script, kind_of, nodes, re
 from darkslide.operators.skew import lookup_join
 from darkslide.session import ship, written
 
-#: Pairs of an old and a new name, over all files, up to which the projections are made on the driver.
-MOST_NAMES = 1_000_000
+#: Distinct renames up to which names are united on the driver; beyond, the same is done by joins.
+DRIVER_LINKS = 10_000
 
 
 def with_previous(files: DataFrame, group: str, order: tuple[str, ...], key: str) -> DataFrame:
@@ -89,9 +89,13 @@ def schema_changes(records: DataFrame, files: DataFrame, key: str = "dump_id", g
     side = lambda at, paths: written(renamable.select(F.col(at).alias(key), F.col(key).alias("pair"), paths).join(lines, key), "sides")
     old = _values(records, side(f"prev_{key}", "lost"), key, photo, text, "lost", "path")
     new = _values(records, side(key, "come"), key, photo, text, "come", "new_path")
-    met = old.join(new.withColumnRenamed("value", "new_value"), ["pair", photo])
-    same = met.groupBy("pair", photo, "path", "new_path").agg(F.max((F.col("value") == F.col("new_value")).cast("int")).alias("same"))
-    shares = same.groupBy("pair", "path", "new_path").agg(F.avg("same").alias("share")).where("share > 0.5")
+    old, new = written(old, "old-values"), written(new, "new-values")
+    agreed = old.join(new, ["pair", photo, "value"]).groupBy("pair", "path", "new_path").agg(F.countDistinct(photo).alias("same"))
+    # Photos by the sets of names they have values of, of which a file has few: so no photo makes a row for each pair of names.
+    names_of = lambda values, name, sets: values.groupBy("pair", photo).agg(F.sort_array(F.collect_set(name)).alias(sets))
+    alike = names_of(old, "path", "paths").join(names_of(new, "new_path", "new_paths"), ["pair", photo]).groupBy("pair", "paths", "new_paths").agg(F.count("*").alias("n"))
+    both_there = alike.select("pair", F.explode("paths").alias("path"), "new_paths", "n").select("pair", "path", F.explode("new_paths").alias("new_path"), "n").groupBy("pair", "path", "new_path").agg(F.sum("n").alias("photos"))
+    shares = agreed.join(both_there, ["pair", "path", "new_path"]).withColumn("share", F.col("same") / F.col("photos")).where("share > 0.5")
     shares = shares.groupBy("pair").agg(F.collect_list(F.struct("path", "new_path", "share")).alias("shares")).withColumnRenamed("pair", key)
 
     def script(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,32 +118,55 @@ def schema_changes(records: DataFrame, files: DataFrame, key: str = "dump_id", g
     return both.join(shares, key, "left").select(group, key, f"prev_{key}", "was", "now", "shares").mapInArrow(script, f"{key} {kinds[key]}, {group} {kinds[group]}, prev_{key} {kinds[key]}, kind string, path string, new_path string, cost double")
 
 
-def projection(changes: DataFrame, schemas: DataFrame) -> dict[str, str]:
-    """The name in the common table of every name that a file uses: names linked by renames are one field, called as most files call it.
+def common_names(changes: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Rows (name, common): the name in the common table of every name that a file uses at the top of its records, written.
 
-    Compiled from the edit scripts' distinct names, not from records; above MOST_NAMES of them an error is raised.
+    Names linked by renames are one field, called as most files call it. Compiled from the edit scripts' distinct names, not from records.
     """
-    renames = changes.where(F.col("kind").isin("renamed", "moved") & ~F.col("path").contains(STEP) & ~F.col("new_path").contains(STEP)).groupBy("path", "new_path").count()
-    used = schemas.select(F.explode(F.array_distinct("fields.path")).alias("path")).where(~F.col("path").contains(STEP)).groupBy("path").count()
-    names = used.limit(MOST_NAMES + 1).collect()
-    links = renames.limit(MOST_NAMES + 1).collect()
-    if max(len(names), len(links)) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} field names")
-    count = Counter({r.path: r["count"] for r in names})
-    above: dict[str, str] = {}
-
-    def top(x: str) -> str:
-        while above.get(x, x) != x:
-            above[x] = above.get(above[x], above[x])
-            x = above[x]
-        return x
-
-    for r in links:
-        a, b = top(r.path), top(r.new_path)
-        if a != b:
-            keep, drop = (a, b) if (-count[a], a) < (-count[b], b) else (b, a)
-            above[drop] = keep
-    return {x: top(x) for x in count}
+    top_level = ~F.col("path").contains(STEP) & ~F.coalesce(F.col("new_path"), F.lit("")).contains(STEP)
+    links = written(changes.where(F.col("kind").isin("renamed", "moved") & top_level).select(F.col("path").alias("a"), F.col("new_path").alias("b")).distinct(), "links")
+    used = written(schemas.select(F.explode(F.array_distinct("fields.path")).alias("name")).where(~F.col("name").contains(STEP)).groupBy("name").agg(F.count("*").alias("n")), "names")
+    labels = _united(links)
+    named = used.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    first = named.groupBy("label").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("common"))
+    return written(named.join(first, "label").select("name", "common"), "common-names")
+
+
+def _united(links: DataFrame) -> DataFrame:
+    """Rows (name, label): names joined by links (a, b) share the least name among them."""
+    spark = links.sparkSession
+    if links.count() <= DRIVER_LINKS:
+        above: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            while above.get(x, x) != x:
+                above[x] = above.get(above[x], above[x])
+                x = above[x]
+            return x
+
+        for r in links.collect():
+            low, high = sorted((top(r.a), top(r.b)))
+            above.setdefault(low, low)
+            above[high] = low
+        return spark.createDataFrame([(x, top(x)) for x in above], "name string, label string")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(both.select(F.col("a").alias("name")).distinct().withColumn("label", F.col("name")), "labels")
+    while True:
+        # The least label among neighbours, then that label's own: distances halve with each round.
+        near = both.join(labels.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.min("label").alias("near"))
+        least = labels.join(near, "name").select("name", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        next_ = least.join(labels.select(F.col("name").alias("label"), F.col("label").alias("further")), "label", "left")
+        labels = written(next_.select("name", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels")
+        changed = labels.where("label <> was").isEmpty()
+        labels = labels.drop("was")
+        if changed:
+            return labels
+
+
+def projections(schemas: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Rows (key, renames): each file's own projection, an array of (name, common) of the names in it that the common table calls otherwise."""
+    own = schemas.select(key, F.explode(F.array_distinct("fields.path")).alias("name"))
+    return own.join(names.where("name <> common"), "name").groupBy(key).agg(F.collect_list(F.struct("name", "common")).alias("renames"))
 
 
 def plain_text(value: object) -> str | None:
@@ -154,27 +181,34 @@ def plain_text(value: object) -> str | None:
     return text
 
 
-def one_table(records: DataFrame, names: Mapping[str, str], columns: Mapping[str, str], keep: tuple[str, ...] = ("dump_id", "line_no", "file_key"), text: str = "record_json") -> DataFrame:
-    """Every record as one row: keep, one text column for each field of columns (column -> any name of the field), and fields, the rest as a JSON text by common name.
+def one_table(records: DataFrame, names: DataFrame, files: DataFrame, columns: Mapping[str, str], key: str = "dump_id", keep: tuple[str, ...] = ("line_no", "file_key"), text: str = "record_json") -> DataFrame:
+    """Every record as one row: key, keep, one text column for each field of columns (column -> any name of the field), and fields, the rest as a JSON text by common name.
 
-    Nulls and absent keys give nulls; a record that is no JSON object has null columns and no fields; where a record uses two names of one field, the first by name counts. Repeated lines stay.
+    names are of common_names and files of projections: each record goes through its file's projection. Nulls and absent keys give nulls; a record that is no JSON object has null columns and no fields. Where a record holds two names of one field,
+    the one called as the common table calls it counts, else the first by name, and the others stay in fields under their own names. Repeated lines stay.
     """
     ship(records.sparkSession)
-    wanted = {names.get(field, field): column for column, field in columns.items()}
+    asked = {r.name: r.common for r in names.where(F.col("name").isin(*columns.values())).collect()}
+    wanted = {asked.get(field, field): column for column, field in columns.items()}
     order = list(columns)
+    lines = records.groupBy(key).agg(F.count("*").alias("n"))
+    known = written(files.join(lines, key), "projections")
+    carried = lookup_join(records.select(key, *keep, text), known, key, "n", "left", spread_by=text)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: dict[str, list[str | None]] = {c: [] for c in [*order, "fields"]}
-            for t in b.column(text).to_pylist():
-                record: dict[str, object] = {}
-                for name, x in sorted(record_of(t).items()):
-                    if x is not None:
-                        record.setdefault(names.get(name, name), x)
+            for t, renames in zip(b.column(text).to_pylist(), b.column("renames").to_pylist()):
+                own = {x["name"]: x["common"] for x in renames or []}
+                given = {name: x for name, x in sorted(record_of(t).items()) if x is not None}
+                record = {name: x for name, x in given.items() if name not in own}
+                for name, x in given.items():
+                    if name in own:
+                        record[own[name] if own[name] not in record else name] = x
                 for common, column in wanted.items():
                     found[column].append(plain_text(record.pop(common, None)))
                 found["fields"].append(json.dumps(record, sort_keys=True, ensure_ascii=False))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(found[c], pa.string()) for c in [*order, "fields"])], names=[*keep, *order, "fields"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, *keep)), *(pa.array(found[c], pa.string()) for c in [*order, "fields"])], names=[key, *keep, *order, "fields"])
 
     kinds = dict(records.dtypes)
-    return records.select(*keep, text).mapInArrow(read, ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f"{c} string" for c in [*order, "fields"])]))
+    return carried.mapInArrow(read, ", ".join([*(f"{c} {kinds[c]}" for c in (key, *keep)), *(f"{c} string" for c in [*order, "fields"])]))

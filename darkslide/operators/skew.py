@@ -14,7 +14,8 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, how:
 
     weight is lookup's column with the number of rows behind each key. Hot keys, at most HOT_SHARE by definition, are
     broadcast; the others shuffle, and each has at most 1 / HOT_SHARE of the rows. Rows with a null key find nothing:
-    "inner" drops them, "left" keeps them with nulls and, with those of hot keys, spreads them by the column spread_by.
+    "inner" drops them, "left" keeps them with nulls and, with those of hot keys, spreads them by the column spread_by;
+    "inner" spreads by the other columns where spread_by isn't given.
     """
     total = lookup.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) > max(1, total / HOT_SHARE)
@@ -22,12 +23,14 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, how:
     near = F.broadcast(lookup.where(hot).select(key, F.struct(F.lit(True).alias("_"), *values).alias("_near")))
     cold = lookup.where(~hot)
     marked = rows.join(near, key, "left")
-    if how == "inner":
-        found = marked.where(F.col("_near").isNotNull()).select(*rows.columns, *[F.col("_near")[c].alias(c) for c in values])
-        return found.unionByName(marked.where(F.col("_near").isNull()).drop("_near").join(cold.drop(weight), key).select(*rows.columns, *values))
-    if how != "left" or spread_by is None:
+    if how not in ("inner", "left") or how == "left" and spread_by is None:
         raise ValueError("how must be inner, or left with spread_by")
-    away = F.when(F.col(key).isNull() | F.col("_near").isNotNull(), F.concat(F.lit("\u0000"), F.xxhash64(spread_by).cast("string"))).otherwise(F.col(key).cast("string"))
-    far = cold.select(F.col(key).cast("string").alias("_away"), F.struct(*values).alias("_far"))
+    # rows are read once: those that the shuffled join has nothing for are spread by what is in them.
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant", "array", "struct")) and c != key]
+    spread_out = F.xxhash64(spread_by) if spread_by else F.xxhash64(*(plain or [key]))
+    away = F.when(F.col(key).isNull() | F.col("_near").isNotNull(), F.concat(F.lit("\u0000"), spread_out.cast("string"))).otherwise(F.col(key).cast("string"))
+    far = cold.select(F.col(key).cast("string").alias("_away"), F.struct(F.lit(True).alias("_"), *values).alias("_far"))
     joined = marked.withColumn("_away", away).join(far, "_away", "left")
+    if how == "inner":
+        joined = joined.where(F.col("_near").isNotNull() | F.col("_far").isNotNull())
     return joined.select(*rows.columns, *[F.when(F.col("_near").isNotNull(), F.col("_near")[c]).otherwise(F.col("_far")[c]).alias(c) for c in values])

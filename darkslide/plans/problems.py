@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.functions.coordinates import positions
-from darkslide.operators.drift import file_schemas, one_table, projection, schema_changes
+from darkslide.operators.drift import common_names, file_schemas, one_table, projections, schema_changes
 from darkslide.operators.impute import chained_imputation, days_and_offsets
 from darkslide.operators.instants import StampField, normalise_instants, with_home_zone
 from darkslide.operators.packed import split_packed
@@ -69,8 +69,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_table(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "raw_dump")
-    names = projection(written(_changes(spark, folder), "changes"), file_schemas(records, "dump_id", "record_json"))
-    return one_table(records, names, {"date_time_original": "ExifIFD:DateTimeOriginal", "source_file": "SourceFile"})
+    schemas = written(file_schemas(records, "dump_id", "record_json"), "schemas")
+    names = common_names(written(_changes(spark, folder), "changes"), schemas)
+    return one_table(records, names, projections(schemas, names, "dump_id"), {"date_time_original": "ExifIFD:DateTimeOriginal", "source_file": "SourceFile"})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p6_found, p6_chained, p7_found, p7_table)}

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from darkslide.functions.schematree import STEP, _assign, edit_script
-from darkslide.operators.drift import file_schemas, one_table, plain_text, projection, schema_changes, with_previous
+from darkslide.operators import drift
+from darkslide.operators.drift import common_names, file_schemas, one_table, plain_text, projections, schema_changes, with_previous
 
 
 def edits(old, new, agreement=()):
@@ -50,9 +51,11 @@ def test_changes_and_table(spark):
     changes = schema_changes(records, files)
     found = sorted((r.dump_id, r.kind, r.path, r.new_path) for r in changes.collect())
     assert found == [(2, "removed", "gone", ""), (2, "renamed", "Date", "date_taken"), (3, "retyped", "n", "n")]
-    names = projection(changes, file_schemas(records, "dump_id", "record_json"))
+    schemas = file_schemas(records, "dump_id", "record_json")
+    common = common_names(changes, schemas)
+    names = {r.name: r.common for r in common.collect()}
     assert names["Date"] == names["date_taken"] == "date_taken"
-    table = one_table(records, names, {"taken": "Date"})
+    table = one_table(records, common, projections(schemas, common, "dump_id"), {"taken": "Date"})
     assert table.count() == records.count()
     assert {r.taken for r in table.where("dump_id in (1, 2, 3) and file_key = 2").collect()} == {"2020:01:03 00:00:00"}
     assert table.where("dump_id = 4 and taken is null").count() == 3
@@ -60,6 +63,29 @@ def test_changes_and_table(spark):
     assert schema_changes(records, files.limit(0)).count() == 0
 
 
+def test_two_names_in_one_record_keep_both_values(spark):
+    files = spark.createDataFrame([(1, 5, 10), (2, 5, 20), (3, 6, 10)], "dump_id bigint, station_id bigint, dumped_at bigint")
+    rows = [(d, k, k, json.dumps({n: f"v{k}"})) for d, n in ((1, "X"), (2, "Y")) for k in range(4)] + [(3, 0, 0, '{"X": "x", "Y": "y", "Z": null}'), (3, 1, 1, '{"X": "only"}')]
+    records = spark.createDataFrame(rows, "dump_id bigint, line_no int, file_key bigint, record_json string")
+    schemas = file_schemas(records, "dump_id", "record_json")
+    common = common_names(schema_changes(records, files), schemas)
+    table = one_table(records, common, projections(schemas, common, "dump_id"), {"value": "Y"})
+    assert {(r.dump_id, r.line_no, r.value, r.fields) for r in table.where("dump_id = 3").collect()} in ({(3, 0, "x", '{"Y": "y"}'), (3, 1, "only", "{}")}, {(3, 0, "y", '{"X": "x"}'), (3, 1, "only", "{}")})
+    assert {r.value for r in table.where("dump_id < 3").collect()} == {"v0", "v1", "v2", "v3"}
+
+
+def test_names_united_by_joins(spark, monkeypatch):
+    links = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20) if i != 9] + [("n03", "n01")], "a string, b string")
+    found = {r.name: r.label for r in drift._united(links).collect()}
+    monkeypatch.setattr(drift, "DRIVER_LINKS", 0)
+    assert {r.name: r.label for r in drift._united(links).collect()} == found and set(found.values()) == {"n00", "n10"}
+
+
+def test_renames_beneath_a_renamed_node():
+    a, b = {"o": "object", f"o{STEP}x": "string"}, {"p": "object", f"p{STEP}y": "string"}
+    assert edits(a, b, {("o", "p"): 1.0, (f"o{STEP}x", f"p{STEP}y"): 1.0}.items()) == [("renamed", "o", "p"), ("renamed", "o/x", "p/y")]
+
+
 def test_previous_over_partitions(spark):
     files = spark.range(0, 500).selectExpr("id as dump_id", "id % 3 as station_id", "500 - id as dumped_at")
     found = {r.dump_id: r.prev_dump_id for r in with_previous(files, "station_id", ("dumped_at",), "dump_id").collect()}
