@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ CELL_M = 300.0
 HOT_CELL, HOT_SHARE = 20_000, 2_000
 #: Edges up to which the decomposition is built once and broadcast; above it, strips of it are distributed with their points.
 BROADCAST_EDGES = 5_000
-STRIPS = 256
+#: Edges and points of a strip, about: the strips become more with the edges, and busy ones are split.
+STRIP_EDGES = 2_000
 STRIP_POINTS = 200_000
 
 
@@ -96,21 +98,32 @@ def containing_regions(points: DataFrame, id_column: str, regions: DataFrame, re
 
         return placed.mapInArrow(locate, schema)
 
-    # Strips with about as many edges each, at most STRIPS; beyond the outermost bounds there is no region.
-    bounds = sorted(set(edges.stat.approxQuantile("x0", [i / STRIPS for i in range(STRIPS + 1)], 0.0005)) | set(edges.agg(F.min(F.least("x0", "x1")), F.max(F.greatest("x0", "x1"))).first()))
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    strip_of = lambda x: F.size(F.filter(cuts, lambda b: b <= x)) - 1
-    placed = placed.withColumn("strip", strip_of(F.col("lon"))).where(f"strip between 0 and {len(bounds) - 2}")
-    salts = F.array(*[F.lit(1)] * (len(bounds) - 1))
-    if counts := {r[0]: r[1] for r in placed.groupBy("strip").count().collect()}:
-        salts = F.array(*[F.lit(-(-counts.get(i, 1) // STRIP_POINTS)) for i in range(len(bounds) - 1)])
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.get(salts, F.col("strip"))).cast("int"))
-    first, last = F.greatest(strip_of(F.least("x0", "x1")), F.lit(0)), F.least(strip_of(F.greatest("x0", "x1")), F.lit(len(bounds) - 2))
-    spread = edges.withColumn("strip", F.explode(F.sequence(first, last))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.get(salts, F.col("strip")) - 1)))
+    # Strips with about as many edges each; beyond the outermost bounds there is no region.
+    strips = -(-edges.count() // STRIP_EDGES)
+    inner = edges.stat.approxQuantile("x0", [i / strips for i in range(strips + 1)], min(0.0005, 0.1 / strips))
+    bounds = np.array(sorted(set(inner) | set(edges.agg(F.min(F.least("x0", "x1")), F.max(F.greatest("x0", "x1"))).first())))
+    last = len(bounds) - 2
+
+    @F.pandas_udf("int")
+    def strip_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, x.to_numpy(), side="right") - 1, dtype="int32")
+
+    placed = written(placed.withColumn("strip", strip_of("lon")).where(f"strip between 0 and {last}"), "strips")
+    salts = np.ones(len(bounds), np.int64)
+    for strip, number in placed.groupBy("strip").count().collect():
+        salts[strip] = -(-number // STRIP_POINTS)
+
+    @F.pandas_udf("int")
+    def salts_of(strip: pd.Series) -> pd.Series:
+        return pd.Series(salts[strip.to_numpy()], dtype="int32")
+
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("id"), salts_of("strip")).cast("int"))
+    ends = edges.withColumn("from", F.greatest(strip_of(F.least("x0", "x1")), F.lit(0))).withColumn("to", F.least(strip_of(F.greatest("x0", "x1")), F.lit(last)))
+    spread = ends.withColumn("strip", F.explode(F.sequence("from", "to"))).withColumn("salts", salts_of("strip")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("from", "to", "salts")
 
     def join(key: tuple[pa.Scalar, ...], own: pa.Table, sides: pa.Table) -> pa.Table:
         k = key[0].as_py()
-        ids, found = _found(own.column("id").combine_chunks(), _slabs(sides, bounds[k], bounds[k + 1]), own.column("lon").to_numpy(), own.column("lat").to_numpy())
+        ids, found = _found(own.column("id").combine_chunks(), _slabs(sides, float(bounds[k]), float(bounds[k + 1])), own.column("lon").to_numpy(), own.column("lat").to_numpy())
         return pa.table([ids, found], names=["id", "region"])
 
     return placed.groupBy("strip", "salt").cogroup(spread.groupBy("strip", "salt")).applyInArrow(join, schema)

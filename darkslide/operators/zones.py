@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.functions.temporal import format_offset_floor, wall_offset, has_exif_form
+from darkslide.functions.temporal import format_offset_floor, has_exif_form, wall_offset
 from darkslide.operators.spatial import containing_regions, region_edges
 from darkslide.session import small_enough, written
 
@@ -50,36 +50,68 @@ def centroid_lon(ring: Column) -> Column:
 
 
 def segment_distances(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Planar distance of each point (rows) to each edge (columns)."""
-    x0, y0, x1, y1 = edges.T
+    """Planar distance of each point to each edge of its own block: edges are (x0, y0, x1, y1) along the last axis, blocks along the first."""
+    x0, y0, x1, y1 = np.moveaxis(edges, -1, 0)
     dx, dy = x1 - x0, y1 - y0
     length = np.where(dx * dx + dy * dy == 0, 1, dx * dx + dy * dy)
     along = np.clip(((x[:, None] - x0) * dx + (y[:, None] - y0) * dy) / length, 0, 1)
     return np.hypot(x[:, None] - x0 - along * dx, y[:, None] - y0 - along * dy)
 
 
+class EdgeBlocks:
+    """Edges in blocks of neighbours of one region, with the bounds of each: a point is held only against the blocks that may be nearest."""
+
+    SIZE = 64
+
+    def __init__(self, edges: np.ndarray, region: np.ndarray, centre: np.ndarray) -> None:
+        blocks, regions, centres = [], [], []
+        for r in np.unique(region):
+            own = edges[region == r]
+            x, y = own[:, 0] + own[:, 2], own[:, 1] + own[:, 3]
+            # Stripes of about as many blocks across as along.
+            stripe = np.argsort(np.argsort(x, kind="stable"), kind="stable") // (self.SIZE * max(1, int(np.sqrt(len(own) / self.SIZE))))
+            own = own[np.lexsort((y, stripe))]
+            filled = np.concatenate([own, np.repeat(own[-1:], -len(own) % self.SIZE, axis=0)]).reshape(-1, self.SIZE, 4)
+            blocks.append(filled)
+            regions.append(np.full(len(filled), r))
+            centres.append(np.full(len(filled), centre[np.argmax(region == r)]))
+        self.edges, self.region, self.centre = np.concatenate(blocks), np.concatenate(regions), np.concatenate(centres)
+        self.low = np.minimum(self.edges[:, :, :2], self.edges[:, :, 2:]).min(1)
+        self.high = np.maximum(self.edges[:, :, :2], self.edges[:, :, 2:]).max(1)
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each point the nearest region, the lowest of equally near ones, whether it is beyond the band, and its distance."""
+        away = np.abs(x[:, None] - self.centre)
+        inside = np.where(away > 180, 360 - away, away) <= BAND_DEG
+        beyond = ~inside.any(1)
+        gap = lambda v, i: np.maximum(np.maximum(self.low[:, i] - v[:, None], v[:, None] - self.high[:, i]), 0)
+        least = np.where(inside | beyond[:, None], np.hypot(gap(x, 0), gap(y, 1)), np.inf)
+        # The distance to the block whose bounds are nearest limits which others have to be looked at.
+        first = least.argmin(1)
+        limit = segment_distances(x, y, self.edges[first]).min(1)
+        point, block = np.nonzero(least <= limit[:, None] * (1 + 1e-12))
+        distance = np.empty(len(point))
+        for k in range(0, len(point), 20_000):
+            at = slice(k, k + 20_000)
+            distance[at] = segment_distances(x[point[at]], y[point[at]], self.edges[block[at]]).min(1)
+        order = np.lexsort((self.region[block], distance, point))
+        chosen = order[np.searchsorted(point[order], np.arange(len(x)))]
+        return self.region[block[chosen]], beyond, distance[chosen]
+
+
 def _seek(held: Broadcast):
     """Reader of points that gives each its nearest zone among those held, whether that is beyond the band, and the distance."""
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
-        region = table.column("region").to_numpy()
-        zone, first = np.unique(region, return_index=True)
-        sides = np.column_stack([table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")])
-        centre = table.column("centroid_lon").to_numpy()[first]
-        step = max(1, 4_000_000 // len(region))
+        blocks = EdgeBlocks(np.column_stack([table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")]), table.column("region").to_numpy(), table.column("centroid_lon").to_numpy())
+        step = max(1, 2_000_000 // len(blocks.region))
         for b in batches:
             lon, lat = b.column("lon").to_numpy(), b.column("lat").to_numpy()
-            best, least, beyond = np.zeros(len(lon), np.int64), np.zeros(len(lon)), np.zeros(len(lon), bool)
-            for k in range(0, len(lon), step):
-                at = slice(k, k + step)
-                distance = np.minimum.reduceat(segment_distances(lon[at], lat[at], sides), first, axis=1)
-                away = np.abs(lon[at, None] - centre)
-                near = np.where(np.where(away > 180, 360 - away, away) <= BAND_DEG, distance, np.inf)
-                beyond[at] = ~np.isfinite(near).any(1)
-                pick = np.where(beyond[at], distance.argmin(1), near.argmin(1))
-                best[at], least[at] = zone[pick], distance[np.arange(len(pick)), pick]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(best), pa.array(beyond), pa.array(least)], names=["id", "region", "beyond", "distance"])
+            if len(lon):
+                found = [blocks.nearest(lon[k : k + step], lat[k : k + step]) for k in range(0, len(lon), step)]
+                region, beyond, distance = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(region), pa.array(beyond), pa.array(distance)], names=["id", "region", "beyond", "distance"])
 
     return seek
 
@@ -176,7 +208,8 @@ def check_offsets(records: DataFrame, id_column: str, zones: DataFrame, toleranc
 def zone_table(mapping: DataFrame, polygons: DataFrame) -> DataFrame:
     """The zone table from rows (tz, ids: array of file ids, pos) and (id, rings): files without a zone are left out, the last zone listed for an id has it."""
     of_id = mapping.select(F.posexplode("ids").alias("k", "id"), "tz", "pos").groupBy("id").agg(F.max_by("tz", F.struct("pos", "k")).alias("tz_name"))
-    joined = polygons.join(F.broadcast(of_id), "id")
+    of_id = written(of_id, "zone-ids")
+    joined = polygons.join(F.broadcast(of_id) if small_enough(of_id.count()) else of_id, "id")
     return joined.select(F.col("id").alias("geo_id"), "tz_name", *ring_bounds(F.col("rings")), "rings")
 
 

@@ -1,8 +1,10 @@
 import datetime as dt
 import json
+import time
 import zipfile
 from io import BytesIO
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +294,25 @@ def test_helpers():
     assert f(None, "x", c=3) == "f('x', 2, c=3)"
     assert H.describe_error(ValueError("y")) == "ValueError: y" and (H.percent(1, 3), H.percent(None, 3), H.percent(1, 0)) == (33.3, None, None)
     assert H.root_path("darkslide/cli.py", module=True) == "darkslide.cli" and H.root_path().endswith(H.root_path(relative=True).strip("."))
+
+
+def test_nearest_by_bounds_equals_all_edges():
+    rng = np.random.default_rng(3)
+    start, region = rng.uniform(-60, 60, (3_000, 2)), np.sort(rng.integers(0, 12, 3_000))
+    edges = np.concatenate([start, start + rng.normal(0, 0.5, (3_000, 2))], axis=1)
+    centre = np.arange(-60, 60, 10.0)[region]
+    x, y = rng.uniform(-170, 170, 400), rng.uniform(-80, 80, 400)
+    distance = zones.segment_distances(x, y, np.broadcast_to(edges, (400, *edges.shape)))
+    for i, (found, beyond, least) in enumerate(zip(*zones.EdgeBlocks(edges, region, centre).nearest(x, y))):
+        away = np.minimum(abs(x[i] - centre), 360 - abs(x[i] - centre))
+        own = np.where(away <= zones.BAND_DEG, distance[i], np.inf) if (away <= zones.BAND_DEG).any() else distance[i]
+        assert (beyond, least) == (not (away <= zones.BAND_DEG).any(), own.min()) and found == region[own == own.min()].min()
+
+
+def test_nearest_among_a_million_edges():
+    rng = np.random.default_rng(4)
+    start, region = rng.uniform(-180, 180, (1_000_000, 2)), np.sort(rng.integers(0, 400, 1_000_000))
+    blocks = zones.EdgeBlocks(np.concatenate([start, start + 0.01], axis=1), region, np.linspace(-180, 180, 400)[region])
+    began = time.time()
+    blocks.nearest(rng.uniform(-180, 180, 100), rng.uniform(-90, 90, 100))
+    assert time.time() - began < 10
