@@ -16,6 +16,7 @@ BROADCAST_ROWS = 200_000
 
 _own_folder: str | None = None
 _shipped: set[str] = set()
+_kept: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,10 +58,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation, and its size is known."""
+    """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation, and its size is known.
+
+    The tables of an application share a folder, which goes when the application ends: a DataFrame that is returned may read them until then.
+    """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_folder(spark)}/darkslide-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/darkslide-{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(hadoop)
+        system.deleteOnExit(hadoop)
+        _kept.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
