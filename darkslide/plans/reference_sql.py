@@ -1,4 +1,4 @@
-"""DuckDB SQL of the metadata queries. Those on findings of whole records are checked by tests instead."""
+"""DuckDB SQL of the metadata queries."""
 
 _ZONES = "['Europe/Paris','America/New_York','Asia/Tokyo','Australia/Sydney','Europe/Budapest','America/Denver','Asia/Kolkata','Africa/Nairobi']"
 _POINTS = "points AS (SELECT event_id, ts, (event_id * 7919 % 17000) / 100.0::DOUBLE - 85 AS lat, (event_id * 104729 % 36000) / 100.0::DOUBLE - 180 AS lon FROM events)"
@@ -71,6 +71,57 @@ def _normal(column: str) -> str:
 
 _RINGS = "rings1 AS (SELECT pos, unnest(rings) AS ring, generate_subscripts(rings, 1) - 1 AS ring_no FROM tz_zone)"
 
+_WHOLE = r"^([0-9]{4}):([0-9]{2}):([0-9]{2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})([.][0-9]*)?([+-][0-9]{2}:[0-9]{2}|Z)?$"
+_A = "ExifIFD:DateTimeOriginal"
+
+
+def _exif_of(seconds: str) -> str:
+    return f"strftime(make_timestamp(CAST(({seconds}) * 1000000 AS BIGINT)), '%Y:%m:%d %H:%M:%S')"
+
+
+def _versus(tag: str, name: str, x: str, y: str, tolerance: int) -> str:
+    return f"'{tag} {name}=' || {_exif_of(x)} || ' vs. {_A} ' || {_exif_of(y)} || ' diff_secs=' || abs({x} - {y}) || ' tolerance_secs={tolerance}'"
+
+
+def _unfit(names: str, text: str) -> str:
+    return f"'DateTimeParseError: Cannot parse ' || {names} || ' DateTimeParseError: ''' || {text} || ''' does not match the form of a date and time'"
+
+
+def _read_sql(x: str, fits: str) -> str:
+    """Columns of a joined text: whether it fits, seconds and zone."""
+    clock = f"CASE WHEN substr({x}_t, 12, 2) < '24' AND substr({x}_t, 15, 2) < '60' AND substr({x}_t, 18, 2) < '60' THEN CAST(substr({x}_t, 12, 2) AS BIGINT) * 3600 + CAST(substr({x}_t, 15, 2) AS BIGINT) * 60 + CAST(substr({x}_t, 18, 2) AS BIGINT) END"
+    day = f"TRY_CAST(replace(substr({x}_t, 1, 10), ':', '-') AS DATE) - DATE '1970-01-01'"
+    zone = f"regexp_extract(substr({x}_t, 20), '(?:[+-][0-9]{{2}}:[0-9]{{2}}|Z)$')"
+    return f"coalesce({fits}, false) AS {x}_fits, CASE WHEN {x}_fits AND substr({x}_t, 1, 4) <> '0000' THEN ({day}) * 86400 + {clock} END AS {x}_s, CASE WHEN {x}_fits THEN {zone} END AS {x}_z"
+
+
+def _zone_seconds(z: str) -> str:
+    return f"CASE WHEN {z} = 'Z' THEN 0 WHEN {z} <> '' THEN CASE WHEN {z}[1] = '-' THEN -1 ELSE 1 END * (CAST(substr({z}, 2, 2) AS BIGINT) * 3600 + CAST(substr({z}, 5, 2) AS BIGINT) * 60) END"
+
+
+_OFFSET_TEXT = "(CASE WHEN {0} < 0 THEN '-' ELSE '+' END || printf('%02d:%02d', abs({0}) // 3600, abs({0}) % 3600 // 60))"
+_MATCHES = "regexp_matches({0}_t, '" + _WHOLE.replace("{", "{{").replace("}", "}}") + "')"
+_O_NAME = f"'{_A}' || CASE WHEN o <> '' THEN '+ExifIFD:OffsetTimeOriginal' ELSE '' END"
+_T_NAME = "'EXIF:GPSDateStamp' || CASE WHEN t <> '' THEN '+EXIF:GPSTimeStamp' ELSE '' END"
+_FINDINGS = f"""joined AS (SELECT rec_id, source_file AS f, exififd_date_time_original AS a, exififd_offset_time_original AS o, xmp_date_created AS x, exif_gps_date_stamp AS g, exif_gps_time_stamp AS t,
+ a || coalesce(o, '') AS a_t, x AS x_t, g || coalesce(' ' || nullif(t, ''), '') AS g_t FROM {_PHOTO} WHERE coalesce(exififd_date_time_original, exififd_offset_time_original, xmp_date_created, exif_gps_date_stamp, exif_gps_time_stamp) IS NOT NULL),
+parsed AS (SELECT *, {_read_sql('a', _MATCHES.format('a'))}, {_read_sql('x', _MATCHES.format('x'))}, {_read_sql('g', _MATCHES.format('g') + " AND length(g_t) = 19")} FROM joined),
+zoned AS (SELECT *, {_zone_seconds('a_z')} AS a_o, {_zone_seconds('x_z')} AS x_o FROM parsed),
+instants AS (SELECT *, coalesce(a_o, CASE WHEN x_s IS NOT NULL THEN x_o END) AS off, coalesce(a_s - a_o, x_s - x_o, g_s) AS utc FROM zoned),
+events AS (SELECT rec_id, f, unnest(CASE
+ WHEN NOT a_fits AND (a IS NULL OR a = repeat(' ', 19)) AND regexp_matches(f, 'photos/(....)/(..)/(..)') THEN [{{'n': 0, 'severity': 'fixable', 'tag': '{_A}', 'detail': regexp_extract(f, 'photos/(....)/(..)/(..)', 1) || ':' || regexp_extract(f, 'photos/(....)/(..)/(..)', 2) || ':' || regexp_extract(f, 'photos/(....)/(..)/(..)', 3) || ' 00:00:00'}}]
+ WHEN NOT a_fits THEN [{{'n': 0, 'severity': 'fatal', 'tag': '{_A}' || CASE WHEN o IS NOT NULL THEN '+ExifIFD:OffsetTimeOriginal' ELSE '' END,
+  'detail': CASE WHEN a IS NULL THEN 'DateTimeParseError: Cannot parse {_A} KeyError: ''{_A}''' ELSE {_unfit(_O_NAME, 'a_t')} END}}]
+ WHEN a_s IS NULL OR x_fits AND x_s IS NULL OR g_fits AND g_s IS NULL THEN [{{'n': 0, 'severity': 'error', 'tag': '{_A}', 'detail': 'ValueError'}}]
+ ELSE [{{'n': 1, 'severity': 'deletable', 'tag': 'XMP:DateCreated', 'detail': CASE WHEN x IS NOT NULL AND NOT x_fits THEN {_unfit("'XMP:DateCreated'", 'x_t')} END}},
+  {{'n': 2, 'severity': 'deletable', 'tag': 'EXIF:GPSDateStamp', 'detail': CASE WHEN g IS NOT NULL AND NOT g_fits THEN {_unfit(_T_NAME, 'g_t')} END}},
+  {{'n': 3, 'severity': 'deletable', 'tag': 'EXIF:GPSTimeStamp', 'detail': CASE WHEN t IS NOT NULL AND g IS NULL THEN 'Missing EXIF:GPSDateStamp' END}},
+  {{'n': 4, 'severity': 'deletable', 'tag': 'XMP:DateCreated', 'detail': CASE WHEN abs(x_s - a_s) > 0 THEN {_versus('XMP:DateCreated', 'dt_naive', 'x_s', 'a_s', 0)} END}},
+  {{'n': 5, 'severity': 'fixable', 'tag': 'XMP:DateCreated', 'detail': CASE WHEN x_s IS NOT NULL AND x_o <> off THEN CASE WHEN suffix(x, {_OFFSET_TEXT.format('x_o')}) THEN left(x, -6) ELSE x END || {_OFFSET_TEXT.format('off')} WHEN x_s IS NOT NULL AND x_o IS NULL AND utc IS NOT NULL THEN x || {_OFFSET_TEXT.format('off')} END}},
+  {{'n': 6, 'severity': 'deletable', 'tag': 'XMP:DateCreated', 'detail': CASE WHEN abs(x_s - x_o - utc) > 0 THEN {_versus('XMP:DateCreated', 'utc', '(x_s - x_o)', 'utc', 0)} WHEN x_s IS NOT NULL AND x_o IS NULL AND utc IS NOT NULL AND off IS NULL THEN 'could not determine UTC datetime for comparison' END}},
+  {{'n': 7, 'severity': 'deletable', 'tag': 'EXIF:GPSDateStamp', 'detail': CASE WHEN abs(g_s - utc) > 1799 THEN {_versus('EXIF:GPSDateStamp', 'utc', 'g_s', 'utc', 1799)} END}}] END, recursive := true) FROM instants),
+findings AS (SELECT rec_id, f, severity, tag, min(n) AS n, string_agg(detail, '; ' ORDER BY n) AS detail FROM events WHERE detail IS NOT NULL GROUP BY rec_id, f, severity, tag)"""
+
 ORACLES = {
     "zone_offsets": f"{_FOUND} SELECT tz, {_hhmm('m', 'm < 0')} AS utc_offset, count(*) AS events FROM (SELECT tz, CAST(floor({_offset('tz', 'ts')} / 60) AS BIGINT) AS m FROM found JOIN points USING (event_id)) GROUP BY ALL",
     "tz_from_point": f"{_FOUND} SELECT event_id, tz FROM found",
@@ -104,6 +155,10 @@ ORACLES = {
  WHEN wall IS NULL AND regexp_matches(taken, '^[0-9]{{4}}(:[0-9]{{2}}){{2}} [0-9]{{2}}(:[0-9]{{2}}){{2}}$') THEN 'ValueError' WHEN wall IS NULL OR e.o IS NULL THEN 'TzMismatchError'
  WHEN e.o <> declared AND NOT EXISTS (SELECT 1 FROM offsets n WHERE n.rec_id = f.rec_id AND n.k > 0 AND n.o = f.declared) THEN 'TzMismatchError' END AS error_class
  FROM facts f LEFT JOIN offsets e ON e.rec_id = f.rec_id AND e.k = 0""",
+    "datetime_check": f"WITH {_FINDINGS} SELECT rec_id, severity, tag, detail FROM findings",
+    "any_failure": f"WITH {_FINDINGS} SELECT count(*) > 0 AS failed FROM findings",
+    "failing_files": f"""WITH {_FINDINGS}, by_severity AS (SELECT rec_id, severity, min(n) AS n, '{{' || string_agg(CAST(to_json(tag) AS VARCHAR) || ':' || CAST(to_json(detail) AS VARCHAR), ',' ORDER BY n) || '}}' AS m FROM findings WHERE f LIKE '%.jpg' GROUP BY rec_id, severity)
+ SELECT rec_id, '{{' || string_agg(CAST(to_json(severity) AS VARCHAR) || ':' || m, ',' ORDER BY n) || '}}' AS findings FROM by_severity GROUP BY rec_id""",
     "path_get": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS missing FROM events",
     "path_set": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"a":{"b":' || user_id || ',"c":1}}' ELSE '{"a":{"b":' || user_id || '},"k":' || (props ->> '$.k') || '}' END AS made,
  CASE WHEN event_id % 2 = 0 THEN '{"a":{"c":1},"k":"' || event_type || '"}' ELSE '{"k":"' || event_type || '"}' END AS replaced FROM events""",
