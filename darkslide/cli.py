@@ -1,4 +1,4 @@
-"""Command line: get, set and chk on extracted metadata; get where no command is named."""
+"""Command line: get, set and chk on extracted metadata, zone of a place; get where no command is named."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from darkslide.operators import checks, rules, zones
 from darkslide.sources.records import change_set, expand, ordered_json, read_json_records, read_yaml, yaml_text
 from darkslide.session import written
 
-COMMANDS = ("get", "set", "chk", "-h", "--help")
+COMMANDS = ("get", "set", "chk", "zone", "-h", "--help")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +27,11 @@ def parser() -> argparse.ArgumentParser:
         if name != "chk":
             one.add_argument("--transform", "-t", action="append", default=[], choices=steps)
             one.add_argument("--rules")
+    place = sub.add_parser("zone", help="the time zone of a place; with --time, its offset and wall time then")
+    place.add_argument("lat", type=float)
+    place.add_argument("lon", type=float)
+    place.add_argument("--zones", required=True, help="a zone table stored by store_zones")
+    place.add_argument("--time", help="an instant in UTC, YYYY-MM-DD HH:MM:SS")
     sub.choices["get"].add_argument("--dictify", "-d", action="store_true")
     sub.choices["set"].add_argument("--tags", required=True)
     chk = sub.choices["chk"]
@@ -55,6 +60,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         args.insert(0, "get")
     said = parser().parse_args(args)
     spark = spark or SparkSession.builder.getOrCreate()
+    if said.command == "zone":
+        point = spark.createDataFrame([(0, said.lat, said.lon, said.time)], "id int, lat double, lon double, time string").select("id", "lat", "lon", F.col("time").try_cast("timestamp_ntz").alias("utc"))
+        found = zones.local_times(point, "id", zones.load_zones(spark, said.zones)).first()
+        if found.tz is None:
+            print("no zone", file=sys.stderr)
+            return 1
+        print(found.tz if found.local is None else f"{found.tz} {found.offset_s} {found.local}")
+        return 0
     if said.command == "chk":
         if said.geotz and not said.zones:
             parser().error("--geotz needs --zones")

@@ -41,6 +41,15 @@ def parse_naive(text: Column) -> Column:
     return F.when(text.rlike(_EXIF), wall_time(*_parts(text, _EXIF, 6))).when(text.rlike(_ISO), iso(_ISO)).when(text.rlike(_ISO_BASIC), iso(_ISO_BASIC))
 
 
+def parse_iso(text: Column) -> Column:
+    """A struct (wall, offset_s) of an ISO 8601 text: its wall time, and the seconds of its zone, null without one. Null wall for anything else."""
+    zone = F.regexp_extract(F.substring(text, 9, 100), r"(Z|[+-][0-9]{2}(?::?[0-9]{2})?(?::?[0-9]{2})?)$", 1)
+    part = lambda at: F.coalesce(F.substring(F.regexp_replace(zone, "[^0-9]", ""), at, 2).try_cast("bigint"), F.lit(0))
+    size = part(1) * 3600 + part(3) * 60 + part(5)
+    wall = F.when(~text.rlike(_EXIF), parse_naive(text))
+    return F.struct(wall.alias("wall"), F.when(wall.isNotNull() & (zone != ""), F.when(zone.startswith("-"), -size).otherwise(size)).alias("offset_s"))
+
+
 def has_exif_form(text: Column) -> Column:
     """Whether a text has the form of an EXIF date and time, whatever its numbers."""
     return text.rlike(_EXIF)

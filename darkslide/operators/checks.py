@@ -58,6 +58,19 @@ def _joined(tags: Column, r: Column) -> Column:
     return F.struct(*[r[n].alias(n) for n in _FIELDS], own.alias("own"), text.alias("text"), names.alias("names"), F.array_contains(F.map_keys(tags), r["tag"]).alias("present"))
 
 
+def assembled(df: DataFrame, tags: str = "tags", keep: Sequence[str] = ("source_file",)) -> DataFrame:
+    """Rows (keep, tag, names, text): for every date tag that a record has, the tag and its companions that are there, and their values as one text."""
+    tag_map = F.col(tags)
+    joined = F.filter(F.transform(_registry(), lambda r: _joined(tag_map, r)), lambda r: r["own"].isNotNull())
+    return df.select(*keep, F.inline(F.transform(joined, lambda r: F.struct(r["tag"].alias("tag"), r["names"].alias("names"), r["text"].alias("text")))))
+
+
+def joined_messages(df: DataFrame, by: Sequence[str], order: Sequence[str], text: str, between: str = "; ") -> DataFrame:
+    """Rows (by, messages): texts of each group in order, as one; null texts are left out."""
+    held = df.where(F.col(text).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text")))).alias("_all"))
+    return held.select(*by, F.array_join("_all._text", between).alias("messages"))
+
+
 def _read(r: Column) -> Column:
     """A joined entry with what it says: seconds since 1970 as a wall time, offset, and errors."""
     # Once the form fits, all but the fraction and offset stand at fixed places.

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.functions.temporal import format_offset_floor, has_exif_form, wall_offset
+from darkslide.functions.temporal import format_offset_floor, has_exif_form, local_time, seconds_of, wall_offset
 from darkslide.operators.spatial import containing_regions, region_edges
 from darkslide.session import small_enough, written
 
@@ -163,6 +163,18 @@ def zone_of_points(points: DataFrame, id_column: str, zones: DataFrame, toleranc
     return found.join(names, "region", "left").select(F.col("id").alias(id_column), "tz")
 
 
+def local_times(points: DataFrame, id_column: str, zones: DataFrame, instant: str = "utc") -> DataFrame:
+    """Rows (id, tz, offset_s, local) of points (id, lat, lon, instant in UTC without zone): the zone there, its offset at the instant and the wall time; null where there is none. ids are unique."""
+    found = zone_of_points(points, id_column, zones).join(points.select(id_column, instant), id_column, "left")
+    local = local_time(F.col("tz"), F.col(instant))
+    return found.select(id_column, "tz", seconds_of(local - F.col(instant)).alias("offset_s"), local.alias("local"))
+
+
+def distinct_ids(df: DataFrame, key: str) -> DataFrame:
+    """The ids that are neither null nor empty, once each, in order."""
+    return df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(key).distinct().orderBy(key)
+
+
 def neighbours(points: DataFrame, id_column: str, metres: float) -> DataFrame:
     """Rows (id, k, lat, lon) of the eight points at metres to the sides and corners of each point."""
     dlat, dlon = metres_to_degrees(F.col("lat"), F.lit(float(metres)))
@@ -223,7 +235,7 @@ def geojson_rings(geometry: Column) -> Column:
 
 def missing_ids(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """Distinct non-empty expected ids that aren't present, in order; complete if there are none."""
-    return expected.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(key).distinct().join(present.select(key), key, "left_anti").orderBy(key)
+    return distinct_ids(expected, key).join(present.select(key), key, "left_anti").orderBy(key)
 
 
 def needs_rebuild(files: DataFrame, *by: str) -> DataFrame:

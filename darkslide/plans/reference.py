@@ -253,8 +253,7 @@ def missing_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_ids(spark: SparkSession, folder: str) -> DataFrame:
-    ids = table(spark, folder, "tz_zone").select("geo_id")
-    return ids.where("geo_id <> ''").distinct().orderBy("geo_id")
+    return zones.distinct_ids(table(spark, folder, "tz_zone"), "geo_id")
 
 
 def needs_rebuild(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,21 +281,38 @@ def merge_maps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def positional_zip(spark: SparkSession, folder: str) -> DataFrame:
-    """The first point of each ring with its latitude and longitude zipped again."""
+    """The longitudes of each ring zipped with its first five latitudes."""
     rings = table(spark, folder, "tz_zone").select(F.col("pos").cast("bigint").alias("pos"), F.posexplode("rings").alias("ring_no", "ring"))
-    zipped = rings.select("pos", F.col("ring_no").cast("bigint").alias("ring_no"), F.posexplode(F.arrays_zip(F.col("ring.lon").alias("lon"), F.col("ring.lat").alias("lat"))).alias("k", "p"))
+    zipped = rings.select("pos", F.col("ring_no").cast("bigint").alias("ring_no"), F.posexplode(N.zip_positions(lon=F.col("ring.lon"), lat=F.slice("ring.lat", 1, 5))).alias("k", "p"))
     return zipped.select("pos", "ring_no", F.col("k").cast("bigint").alias("k"), F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
 
 
 def severity_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Messages of lines joined in order, by order and status."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linestatus", F.struct("l_linenumber", "l_partkey", F.concat_ws(":", "l_linenumber", "l_partkey").alias("text")).alias("m"))
-    joined = lines.groupBy("l_orderkey", "l_linestatus").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    return joined.select("l_orderkey", "l_linestatus", F.array_join("m.text", "; ").alias("messages"))
+    lines = table(spark, folder, "lineitem").withColumn("text", F.concat_ws(":", "l_linenumber", "l_partkey"))
+    return checks.joined_messages(lines, ["l_orderkey", "l_linestatus"], ["l_linenumber", "l_partkey"], "text")
+
+
+def iso_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Photo records' dates in ISO form, with the seconds of their zones."""
+    photos = table(spark, folder, "photo_record").select("rec_id", F.regexp_replace("exififd_date_time_original", r"^([0-9]{4}):([0-9]{2}):([0-9]{2}) ", "$1-$2-$3T").alias("raw")).distinct()
+    read = photos.select("rec_id", "raw", F.inline(F.array(T.parse_iso(F.col("raw")))))
+    return read.select("rec_id", "raw", F.date_format("wall", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("wall"), "offset_s")
+
+
+def assemble_datetime(spark: SparkSession, folder: str) -> DataFrame:
+    records = _tags(spark, folder).select("rec_id", rules.as_map(F.col("tags")).alias("tags"))
+    return checks.assembled(records, keep=["rec_id"])
+
+
+def local_at_point(spark: SparkSession, folder: str) -> DataFrame:
+    """Events' zones, offsets and wall times by their places."""
+    found = zones.local_times(_points(spark, folder).withColumnRenamed("ts", "utc"), "event_id", table(spark, folder, "tz_zone"))
+    return found.select("event_id", "tz", "offset_s", F.date_format("local", "yyyy-MM-dd HH:mm:ss").alias("local"))
 
 
 QUERIES = {f.__name__: f for f in (
     zone_offsets, tz_from_point, tz_exact_only, local_offset, local_time, offset_format, offset_parse, offset_normalize, exif_parse, to_utc, stringify_dt, path_date, zone_bounds, ring_centroids, zone_edges, lon_deltas, neighbour_points,
-    offset_check, datetime_check, failing_files, any_failure, path_get, path_set, path_pop, listify, map_values_keys, keyword_split, position_split, x_join, signed8, flatten_singleton, typed_cast, delete_tags, rename_group, equality_groups,
+    iso_parse, assemble_datetime, local_at_point, offset_check, datetime_check, failing_files, any_failure, path_get, path_set, path_pop, listify, map_values_keys, keyword_split, position_split, x_join, signed8, flatten_singleton, typed_cast, delete_tags, rename_group, equality_groups,
     pipeline_all, missing_ids, distinct_ids, needs_rebuild, id_lookup, merge_maps, positional_zip, severity_messages,
 )}

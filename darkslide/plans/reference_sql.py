@@ -159,6 +159,14 @@ ORACLES = {
     "any_failure": f"WITH {_FINDINGS} SELECT count(*) > 0 AS failed FROM findings",
     "failing_files": f"""WITH {_FINDINGS}, by_severity AS (SELECT rec_id, severity, min(n) AS n, '{{' || string_agg(CAST(to_json(tag) AS VARCHAR) || ':' || CAST(to_json(detail) AS VARCHAR), ',' ORDER BY n) || '}}' AS m FROM findings WHERE f LIKE '%.jpg' GROUP BY rec_id, severity)
  SELECT rec_id, '{{' || string_agg(CAST(to_json(severity) AS VARCHAR) || ':' || m, ',' ORDER BY n) || '}}' AS findings FROM by_severity GROUP BY rec_id""",
+    "iso_parse": f"""WITH dates AS (SELECT DISTINCT rec_id, regexp_replace(exififd_date_time_original, '^([0-9]{{4}}):([0-9]{{2}}):([0-9]{{2}}) ', '\\1-\\2-\\3T') AS raw FROM photo_record),
+ walls AS (SELECT rec_id, raw, {_parse('raw')} AS wall, regexp_extract(substr(raw, 9), '(Z|[+-][0-9]{{2}}(?::?[0-9]{{2}})?(?::?[0-9]{{2}})?)$', 1) AS z FROM dates),
+ digits AS (SELECT *, regexp_replace(z, '[^0-9]', '', 'g') AS d FROM walls)
+ SELECT rec_id, raw, wall, CASE WHEN wall IS NOT NULL AND z <> '' THEN CASE WHEN z[1] = '-' THEN -1 ELSE 1 END * (coalesce(TRY_CAST(d[1:2] AS BIGINT), 0) * 3600 + coalesce(TRY_CAST(d[3:4] AS BIGINT), 0) * 60 + coalesce(TRY_CAST(d[5:6] AS BIGINT), 0)) END AS offset_s FROM digits""",
+    "assemble_datetime": f"""WITH {_FINDINGS} SELECT rec_id, '{_A}' AS tag, {_O_NAME} AS names, a_t AS text FROM joined WHERE a IS NOT NULL
+ UNION ALL SELECT rec_id, 'XMP:DateCreated', 'XMP:DateCreated', x_t FROM joined WHERE x IS NOT NULL UNION ALL SELECT rec_id, 'EXIF:GPSDateStamp', {_T_NAME}, g_t FROM joined WHERE g IS NOT NULL""",
+    "local_at_point": f"""{_FOUND}, walls AS (SELECT event_id, tz, ts, timezone(tz, timezone('UTC', ts)) AS local FROM found JOIN points USING (event_id))
+ SELECT event_id, tz, CAST(epoch(local) - epoch(ts) AS BIGINT) AS offset_s, strftime(local, '%Y-%m-%d %H:%M:%S') AS local FROM walls""",
     "path_get": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.a.b'), 'none') AS missing FROM events",
     "path_set": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"a":{"b":' || user_id || ',"c":1}}' ELSE '{"a":{"b":' || user_id || '},"k":' || (props ->> '$.k') || '}' END AS made,
  CASE WHEN event_id % 2 = 0 THEN '{"a":{"c":1},"k":"' || event_type || '"}' ELSE '{"k":"' || event_type || '"}' END AS replaced FROM events""",
@@ -186,6 +194,6 @@ ORACLES = {
     "id_lookup": "SELECT geo_id, tz_name, min_lon, max_lat FROM (SELECT geo_id, tz_name, list_min(list_transform(flatten(rings), lambda p: p.lon)) AS min_lon, list_max(list_transform(flatten(rings), lambda p: p.lat)) AS max_lat FROM tz_zone)",
     "merge_maps": """SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_custkey % 2 = 0 THEN 'of ' || o_custkey ELSE o_orderpriority END AS priority, CASE WHEN o_custkey % 2 = 1 THEN CAST(o_custkey AS VARCHAR) END AS customer,
  CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS entries FROM orders""",
-    "positional_zip": f"WITH {_RINGS} SELECT CAST(pos AS BIGINT) AS pos, CAST(ring_no AS BIGINT) AS ring_no, CAST(k AS BIGINT) AS k, p.lon AS lon, p.lat AS lat FROM (SELECT pos, ring_no, unnest(ring) AS p, generate_subscripts(ring, 1) - 1 AS k FROM rings1)",
+    "positional_zip": f"WITH {_RINGS} SELECT CAST(pos AS BIGINT) AS pos, CAST(ring_no AS BIGINT) AS ring_no, CAST(k AS BIGINT) AS k, p.lon AS lon, p.lat AS lat FROM (SELECT pos, ring_no, unnest(ring) AS p, generate_subscripts(ring, 1) - 1 AS k FROM rings1) WHERE k < 5",
     "severity_messages": "SELECT l_orderkey, l_linestatus, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), '; ' ORDER BY l_linenumber, l_partkey) AS messages FROM lineitem GROUP BY ALL",
 }

@@ -316,3 +316,20 @@ def test_nearest_among_a_million_edges():
     began = time.time()
     blocks.nearest(rng.uniform(-180, 180, 100), rng.uniform(-90, 90, 100))
     assert time.time() - began < 10
+
+
+def test_zone_command_and_local_times(spark, tmp_path, capsys):
+    zones.store_zones(zone_frame(spark), str(tmp_path / "z"), "test")
+    assert cli.main(["zone", "43.0", "3.0", "--zones", str(tmp_path / "z"), "--time", "2024-07-15 10:00:00"], spark) == 0
+    assert cli.main(["zone", "43.0", "3.0", "--zones", str(tmp_path / "z")], spark) == 0
+    assert capsys.readouterr().out.splitlines()[-2:] == ["Europe/Paris 7200 2024-07-15 12:00:00", "Europe/Paris"]
+
+
+def test_iso_zip_and_messages(spark):
+    iso = lambda text: tuple(one(spark, F.struct(T.parse_iso(F.col("t"))["wall"].cast("string"), T.parse_iso(F.col("t"))["offset_s"]), t=text))
+    assert iso("2024-01-15T12:00:00-03:30") == ("2024-01-15 12:00:00", -12600) and iso("20240715T120000Z") == ("2024-07-15 12:00:00", 0) and iso("2024-01-15") == ("2024-01-15 00:00:00", None)
+    assert iso("2024:01:15 12:00:00") == (None, None) and iso(None) == (None, None) and iso("2024-02-30T12:00:00Z") == (None, None)
+    zipped = spark.range(1).select(F.to_json(N.zip_positions(a=F.array(F.lit(1), F.lit(2)), b=F.array(F.lit("x"))))).first()[0]
+    assert zipped == '[{"a":1,"b":"x"}]'
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, None)], "g int, o int, t string")
+    assert [tuple(r) for r in checks.joined_messages(rows, ["g"], ["o"], "t").collect()] == [(1, "a; b")]
